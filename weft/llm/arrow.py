@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from weft.plans.lineage import ship
 
@@ -32,31 +34,16 @@ def map_rows(df: DataFrame, columns: list, make: Callable[[], Callable], schema:
 
 class _Mapper:
     def __init__(self, make: Callable[[], Callable], schema: str):
-        self.make, self.names = make, [x.strip().split()[0] for x in _split(schema)]
-        self.schema = schema
+        self.make = make
+        self.schema = to_arrow_schema(StructType.fromDDL(schema))
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        schema = to_arrow_schema(StructType.fromDDL(self.schema))
-        f = self.make()
+        schema, f = self.schema, self.make()
         for batch in batches:
             if batch.num_rows:
                 out = f(batch)
                 if out is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[n], schema.field(n).type) for n in self.names], schema=schema)
-
-
-def _split(schema: str) -> list[str]:
-    """Top-level columns of a DDL string."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(schema[start:i])
-            start = i + 1
-    return [*out, schema[start:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(out[n], schema.field(n).type) for n in schema.names], schema=schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -33,7 +33,8 @@ CACHE_CHARS, CACHE_SIZE = 48, 400_000
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space spelled out.
 SPACE = "\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-_NONE = 1 << 60
+ID_BITS = 24
+ID_MASK, _NONE = (1 << ID_BITS) - 1, 1 << 60
 
 
 def byte_symbols() -> dict[str, int]:
@@ -57,10 +58,11 @@ class Vocabulary:
         raw = lambda s: bytes(symbols[c] for c in s)
         ids = {raw(t): i for t, i in model["vocab"].items()}
         self.byte_ids = [ids[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
+        #: A pair's rank above the merged token's id, so that one number holds both.
+        self.pairs: dict[tuple[int, int], int] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = map(raw, merge if isinstance(merge, list) else merge.split(" "))
-            self.pairs.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.pairs.setdefault((ids[a], ids[b]), rank << ID_BITS | ids[a + b])
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         size = max([*ids.values(), *self.special.values()], default=-1) + 1
         self.token_bytes = [b""] * size
@@ -68,45 +70,46 @@ class Vocabulary:
             self.token_bytes[i] = t
         for t, i in self.special.items():
             self.token_bytes[i] = t.encode()
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
 
     def merge_word(self, word: bytes) -> list[int]:
         """Token ids of one word."""
-        parts = [self.byte_ids[b] for b in word]
+        ids = self.byte_ids
+        parts = [ids[b] for b in word]
         if len(parts) > SCAN_LIMIT:
             return self._merge_long(parts)
-        pairs, none = self.pairs, (_NONE, 0)
-        ranks = [pairs.get(p, none)[0] for p in zip(parts, parts[1:], strict=False)]
+        get = self.pairs.get
+        ranks = [get(p, _NONE) for p in zip(parts, parts[1:])]  # noqa: B905
         while ranks:
             low = min(ranks)
             if low == _NONE:
                 break
             i = ranks.index(low)
-            parts[i : i + 2] = [pairs[parts[i], parts[i + 1]][1]]
-            del ranks[i]
+            parts[i] = low & ID_MASK
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = pairs.get((parts[i - 1], parts[i]), none)[0]
+                ranks[i - 1] = get((parts[i - 1], parts[i]), _NONE)
             if i < len(ranks):
-                ranks[i] = pairs.get((parts[i], parts[i + 1]), none)[0]
+                ranks[i] = get((parts[i], parts[i + 1]), _NONE)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         n, pairs = len(parts), self.pairs
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(pairs[p][0], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in pairs]
+        heap = [(pairs[p], i) for i, p in enumerate(zip(parts, parts[1:], strict=False)) if p in pairs]
         heapq.heapify(heap)
         while heap:
-            rank, i = heapq.heappop(heap)
+            low, i = heapq.heappop(heap)
             j = after[i]
-            found = pairs.get((parts[i], parts[j])) if j < n and parts[i] >= 0 else None
-            if not found or found[0] != rank:
+            if j >= n or parts[i] < 0 or pairs.get((parts[i], parts[j])) != low:
                 continue
-            parts[i], parts[j] = found[1], -1
+            parts[i], parts[j] = low & ID_MASK, -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
             for left in (before[i], i):
-                if left >= 0 and after[left] < n and (p := pairs.get((parts[left], parts[after[left]]))):
-                    heapq.heappush(heap, (p[0], left))
+                if left >= 0 and after[left] < n and (p := pairs.get((parts[left], parts[after[left]]))) is not None:
+                    heapq.heappush(heap, (p, left))
         return [p for p in parts if p >= 0]
 
 
@@ -180,7 +183,8 @@ class RankArrayEncoder(Encoder):
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            found = np.array(self.vocabulary.merge_word(word.encode()), "<u4").tobytes()
+            packed = self.vocabulary.packed
+            found = b"".join([packed[i] for i in self.vocabulary.merge_word(word.encode())])
             if len(word) <= CACHE_CHARS:
                 if len(self.words) >= CACHE_SIZE:
                     self.words.clear()
