@@ -7,17 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe
+from weft.llm import bpe, decontaminate
 from weft.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op6_decontaminate_ngram_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_decontaminate_ngram_set": op6_decontaminate_ngram_set,
     "op7_bpe_rank_array": op7_bpe_rank_array,
 }
 
