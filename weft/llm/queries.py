@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe, decontaminate
+from weft.llm import bpe, decontaminate, minhash, sstable
 from weft.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,9 +21,20 @@ def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op9_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=2)
+    return sstable.digest_shards(manifest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate_ngram_set": op6_decontaminate_ngram_set,
     "op7_bpe_rank_array": op7_bpe_rank_array,
+    "op9_minhash_tensored": op9_minhash_tensored,
+    "op10_sstable_shards": op10_sstable_shards,
 }
 
 ORACLE: dict[str, str] = {}
