@@ -47,21 +47,23 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Hashed(NamedTuple):
-    """Texts run together: their bytes, the words' bounds and hashes, and the
-    number of words of each text."""
+    """Texts run together: their bytes, the words' bounds and hashes, the
+    number of words of each text, and for each prefix length the hashes of the
+    longer words' prefixes (0 for other words)."""
 
     data: bytes
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     counts: np.ndarray
+    prefixes: np.ndarray
 
     def word(self, i: int, n: int = 1) -> bytes:
         """Words i to i + n - 1, joined by spaces."""
         return b" ".join(self.data[self.starts[k] : self.ends[k]] for k in range(i, i + n))
 
 
-def _block(data: bytes, at: int, end: int) -> tuple[np.ndarray, ...]:
+def _block(data: bytes, at: int, end: int, lengths: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     buf = np.frombuffer(data, np.uint8, end - at, at)
     p, inverse = _powers(len(buf) + 1)
     word = np.empty(len(buf) + 2, np.int8)
@@ -72,11 +74,16 @@ def _block(data: bytes, at: int, end: int) -> tuple[np.ndarray, ...]:
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(buf * p[: len(buf)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return starts + at, ends + at, hashes
+    cuts = np.zeros((len(starts), len(lengths)), np.uint64)
+    for j, n in enumerate(lengths):
+        long = starts[ends - starts > n]
+        cuts[ends - starts > n, j] = mix((sums[long + n] - sums[long]) * inverse[long] + np.uint64(n * 0xA0761D6478BD642F & _MASK))
+    return starts + at, ends + at, hashes, cuts
 
 
-def hashed(texts: list[bytes], by: bytes) -> Hashed:
-    """The words of some texts; ``by`` is a table of this module."""
+def hashed(texts: list[bytes], by: bytes, prefixes: tuple[int, ...] = ()) -> Hashed:
+    """The words of some texts; ``by`` is a table of this module and
+    ``prefixes`` are lengths in bytes."""
     data = b" ".join(texts).translate(by)
     found, at = [], 0
     while at < len(data):
@@ -85,12 +92,12 @@ def hashed(texts: list[bytes], by: bytes) -> Hashed:
             end = cut
         elif end < len(data):
             end = cut if (cut := data.find(b" ", end)) >= 0 else len(data)
-        found.append(_block(data, at, end))
+        found.append(_block(data, at, end, prefixes))
         at = end
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    starts, ends, hashes = (np.concatenate(x) for x in zip(*found, none, strict=True)) if found else none
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, len(prefixes)), np.uint64))
+    starts, ends, hashes, cuts = (np.concatenate(x) for x in zip(*found, none, strict=True)) if found else none
     first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return Hashed(data, starts, ends, hashes, np.diff(np.searchsorted(starts, first)))
+    return Hashed(data, starts, ends, hashes, np.diff(np.searchsorted(starts, first)), cuts)
 
 
 def groups(texts: list[bytes], size: int = BLOCK) -> Iterator[tuple[int, int]]:
