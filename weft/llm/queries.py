@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe, decontaminate, langid, minhash, sstable, toxicity
+from weft.llm import bpe, decontaminate, hilbert, langid, minhash, sstable, toxicity
 from weft.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op3_langid_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.report(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op5_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +44,7 @@ def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid_family_svm": op3_langid_family_svm,
+    "op4_hilbert_shards": op4_hilbert_shards,
     "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
     "op6_decontaminate_ngram_set": op6_decontaminate_ngram_set,
     "op7_bpe_rank_array": op7_bpe_rank_array,
