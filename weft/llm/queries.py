@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import bpe, decontaminate, hilbert, langid, minhash, sstable, toxicity
+from weft.llm import bpe, decontaminate, flac, hilbert, langid, minhash, sstable, toxicity
 from weft.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -33,6 +33,10 @@ def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op8_flac_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_features(flac.store_media(table(spark, sf_dir, "documents")))
+
+
 def op9_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
     "op6_decontaminate_ngram_set": op6_decontaminate_ngram_set,
     "op7_bpe_rank_array": op7_bpe_rank_array,
+    "op8_flac_column": op8_flac_column,
     "op9_minhash_tensored": op9_minhash_tensored,
     "op10_sstable_shards": op10_sstable_shards,
 }
