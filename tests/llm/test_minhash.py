@@ -1,5 +1,6 @@
 import random
 
+from weft.llm import minhash
 from weft.llm.minhash import near_duplicates
 
 
@@ -24,8 +25,8 @@ def brute(docs, n, percent):
     return sorted((d, len(s), find(d), find(d) == d) for (d, _), s in zip(docs, sets, strict=True))
 
 
-def result(frame, n=3, percent=85, **more):
-    return sorted(tuple(r) for r in near_duplicates(frame, n, percent, **more).collect())
+def result(frame, n=3, percent=85):
+    return sorted(tuple(r) for r in near_duplicates(frame, n, percent).collect())
 
 
 def fixture(seed):
@@ -48,9 +49,10 @@ def test_equals_brute_force(spark):
     assert result(frame) == brute(docs, 3, 85)
 
 
-def test_last_round_alone_is_exact(spark):
-    docs = fixture(2)[:120]
-    assert result(spark.createDataFrame(docs, "doc_id long, text string"), pivot_rounds=0) == brute(docs, 3, 85)
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 4)
+    docs = fixture(2)
+    assert result(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs, 3, 85)
 
 
 def test_repeated_ids_and_null_ids(spark):

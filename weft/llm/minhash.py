@@ -5,14 +5,16 @@ shingles; table keys are all pairs of one sub-key from either collection, so
 ``M * M`` tables of ``2 * K`` rows cost ``2 * M * K`` minima instead of
 ``2 * K * M * M``. Two documents meet in some table if and only if they share a
 sub-key in both collections: at the linking threshold s = 0.85 the chance to
-miss is at most ``2 * (1 - s**K) ** M`` (2e-5 for K = 3, M = 12).
+miss is at most ``2 * (1 - s**K) ** M`` (1.5e-5 for K = 4, M = 16).
 
-Equal shingle sets become one representative first. Then tables are searched
-in rounds: each table key sends its members to one pivot, met pairs are
-verified on full shingle sets, verified links join classes, and only members
-of different classes meet again. A last round verifies every pair that meets
-in a table and is still in different classes, so no link that could join two
-classes is left out, while a large class never emits its pairs.
+Equal shingle sets become one representative first. Representatives that meet
+form groups, by way of one pivot for each table key. Groups are cut by hash
+into blocks of bounded size, and full shingle sets are compared in cells of at
+most two blocks by one product of 0/1 matrices: a cell sends out the classes it
+joins, never its pairs. In a group of several blocks every block first meets
+block 0; then members are blocked anew by class, and cells of two blocks that
+already are one class are left out, so that a large class costs no more pairs
+while every pair in different classes is still compared.
 
 Results for odd input: texts without words, null texts and null ids have no
 shingles in common with anything; fewer than ``N`` words are one shingle;
@@ -23,7 +25,7 @@ of its texts; further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.arrow import map_rows, plain, utf8
@@ -32,11 +34,11 @@ from weft.operators.components import components
 from weft.plans.lineage import stored
 
 #: Minima in a sub-key, and sub-keys in a collection.
-K, M = 3, 12
-#: Rounds that send a table key's members to one pivot.
-PIVOT_ROUNDS = 3
-#: Most ids in one broadcast (8 bytes each).
-BROADCAST_IDS = 2_000_000
+K, M = 4, 16
+#: Members and shingles that a block has on average, at most.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
+#: Most rows of three integers in one broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -105,65 +107,134 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """``rep, g, s`` of documents that come with their group ``g``."""
+
     def make():
         def f(batch):
-            sets = shingle_sets(utf8(batch), n)
-            return {"doc_id": batch.column(0), "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets]}
+            return {"rep": batch.column(0), "g": batch.column(1), "s": [s.view(np.int64) for s in shingle_sets(utf8(batch), n)]}
 
         return f
 
-    return map_rows(plain(docs, "doc_id", "text"), ["doc_id", "text"], make, "doc_id bigint, n bigint, s array<bigint>")
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(x, y)`` whose full sets are similar enough."""
-    right = sets.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("s").alias("sy"))
-    left = sets.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("s").alias("sx"))
-    met = pairs.join(right, "y").join(left, "x").withColumn("both", F.size(F.array_intersect("sx", "sy")).cast("bigint"))
-    return met.where(100 * F.col("both") >= percent * (F.col("nx") + F.col("ny") - F.col("both"))).select("x", "y").distinct()
+    return map_rows(docs, ["doc_id", "g", "text"], make, "rep bigint, g bigint, s array<bigint>")
+
+
+def linked_classes(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> set[tuple[int, int]]:
+    """Pairs of labels that links among some sets join."""
+    size = np.array([len(s) for s in sets], np.int64)
+    count = len(sets)
+    _, token, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(count), size)
+    shared = seen > 1
+    column = np.cumsum(shared) - 1
+    row, column = row[shared[token]], column[token[shared[token]]]
+    both = np.zeros((count, count), np.float32)
+    width = max(64, (1 << 23) // count)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        part = np.zeros((count, min(width, int(column[-1]) + 1 - start)), np.float32)
+        part[row[a:b], column[a:b] - start] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    label = labels.copy()
+    while True:
+        low = np.where(link, label[None, :], np.iinfo(np.int64).max).min(1)
+        low = np.minimum(low, label)
+        if (low == label).all():
+            break
+        label = low
+    return {(int(a), int(b)) for a, b in zip(labels, label, strict=True) if a != b}
 
 
-def _table_keys(members: DataFrame) -> DataFrame:
-    """One row for each member and table: ``key, rep, n, label``."""
-    pair = F.explode(F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: F.xxhash64(p, q)))))
-    return members.select(pair.alias("key"), "rep", "n", "label")
+class _Cells:
+    """Rows sorted by cell to the classes that each cell joins."""
 
+    def __init__(self, percent: int):
+        self.percent = percent
 
-def _close(n: str, m: str, percent: int):
-    """Sizes that let two sets be similar enough."""
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    def __call__(self, batches):
+        import pyarrow as pa
 
+        def joined(sets, labels):
+            found = linked_classes(sets, np.array(labels, np.int64), self.percent) if len(sets) > 1 else ()
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["src", "dst"])
 
-def _pivot_pairs(members: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member with its table keys' pivots, where the classes differ."""
-    keys = _table_keys(members)
-    order = F.xxhash64(F.lit(turn), "rep") if turn else F.col("rep")
-    pick = F.min(F.struct(order.alias("o"), F.col("rep").alias("x"), F.col("n").alias("m"), F.col("label").alias("other")))
-    pivots = keys.groupBy("key").agg(pick.alias("p"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    met = keys.join(pivots.select("key", "p.x", "p.m", "p.other"), "key")
-    return met.where((F.col("label") != F.col("other")) & _close("n", "m", percent)).select(F.least("x", "rep").alias("x"), F.greatest("x", "rep").alias("y")).distinct()
+        cell, sets, labels = None, [], []
+        for batch in batches:
+            flat, at = batch.column(2), 0
+            values = flat.values.to_numpy(zero_copy_only=False)
+            offsets = flat.offsets.to_numpy()
+            for c, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if c != cell:
+                    if len(sets) > 1:
+                        yield joined(sets, labels)
+                    cell, sets, labels = c, [], []
+                sets.append(values[offsets[at] : offsets[at + 1]].copy())
+                labels.append(label)
+                at += 1
+        if len(sets) > 1:
+            yield joined(sets, labels)
 
 
-def _open_members(members: DataFrame) -> DataFrame:
-    """Members of table keys that still hold more than one class."""
-    keys = _table_keys(members)
-    mixed = keys.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    reps = keys.join(mixed, "key", "left_semi").select("rep").distinct()
-    return members.join(reps, "rep", "left_semi")
+def _compare(rows: DataFrame, percent: int) -> DataFrame:
+    """``src, dst``: labels joined in the cells of ``cell, label, s``."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = rows.select("cell", "label", "s").repartition(parts, "cell").sortWithinPartitions("cell")
+    return stored(laid.mapInArrow(_Cells(percent), "src bigint, dst bigint"), "minhash-joins")
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Every pair that meets in a table and is in different classes, once."""
-    one = members.select(F.posexplode("a").alias("i", "v"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("a").alias("ax"), F.col("b").alias("bx"))
-    two = members.select(F.posexplode("a").alias("i2", "v2"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("a").alias("ay"), F.col("b").alias("by"))
-    same = lambda p, q: F.zip_with(p, q, lambda s, t: s == t)
-    first = F.array_position(same("ax", "ay"), True) == F.col("i") + 1
-    differ = (F.col("x") < F.col("y")) & (F.col("lx") != F.col("ly")) & _close("nx", "ny", percent)
-    met = (F.col("i") == F.col("i2")) & (F.col("v") == F.col("v2")) & differ & first & F.exists(same("bx", "by"), lambda t: t)
-    return one.join(two, met).select("x", "y")
+def _small(df: DataFrame, count: int) -> DataFrame:
+    """Broadcast behind a check of its rows; otherwise Spark's own choice."""
+    return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
-def near_duplicates(docs: DataFrame, n: int, percent: int, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+def _table_groups(members: DataFrame) -> DataFrame:
+    """``rep, g`` of the members that meet another in some table."""
+    pair = F.explode(F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: F.xxhash64(p, q)))))
+    keys = members.select(pair.alias("key"), "rep")
+    pivots = keys.groupBy("key").agg(F.min("rep").alias("src"), F.max("rep").alias("high")).where("src < high").select("key", "src")
+    met = keys.join(pivots, "key").where("src < rep").select("src", F.col("rep").alias("dst")).distinct()
+    return components(met).select(F.col("id").alias("rep"), F.col("component").alias("g"))
+
+
+def _blocks() -> Column:
+    """Blocks for so many ``members`` and ``shingles``."""
+    return F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+
+
+def _first_cells(sets: DataFrame, large: DataFrame) -> DataFrame:
+    """Small groups are one cell; each block of a large one meets block 0."""
+    wide = sets.join(F.broadcast(large.select("g", "blocks")), "g", "left")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    numbers = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(block == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(block.cast("int")))
+    return wide.withColumn("number", F.explode(numbers)).select(F.xxhash64("g", "number").alias("cell"), F.col("rep").alias("label"), "s")
+
+
+def _second_cells(sets: DataFrame) -> DataFrame:
+    """Cells of ``rep, g, label, s`` for all pairs in different classes."""
+    of = sets.select("g", "label", F.size("s").alias("n")).groupBy("g", "label").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    # Classes of half a block get blocks of their own, the others share some.
+    of = stored(of.withColumn("own", F.when((F.col("members") * 2 >= BLOCK_MEMBERS) | (F.col("shingles") * 2 >= BLOCK_SHINGLES), F.col("label"))), "minhash-classes")
+    pools = of.groupBy("g", "own").agg(F.sum("members").alias("members"), F.sum("shingles").alias("shingles")).withColumn("blocks", _blocks())
+    pools = stored(pools.select("g", "own", "blocks"), "minhash-pools")
+    blocks = pools.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "own", "number", F.xxhash64("g", "own", "number").alias("block"))
+    blocks = stored(blocks, "minhash-blocks")
+    left, right = (blocks.select("g", F.col("own").alias(f"own{i}"), F.col("block").alias(f"block{i}")) for i in (1, 2))
+    apart = F.coalesce(F.col("own1") != F.col("own2"), F.lit(True))
+    cells = left.join(right, "g").where((F.col("block1") <= F.col("block2")) & apart)
+    # A pool of small classes also meets itself, alone only where it is its group.
+    cells = cells.select(F.xxhash64("block1", "block2").alias("cell"), F.array_distinct(F.array("block1", "block2")).alias("two"))
+    cells = stored(cells.select("cell", F.explode("two").alias("block")), "minhash-cells")
+    owns = of.where("own is not null").select("g", "label", "own")
+    placed = sets.join(F.broadcast(owns), ["g", "label"], "left")
+    placed = placed.join(F.broadcast(pools.withColumnRenamed("g", "g2").withColumnRenamed("own", "own2")), (F.col("g") == F.col("g2")) & F.col("own").eqNullSafe(F.col("own2")))
+    placed = placed.withColumn("block", F.xxhash64("g", "own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))).select("block", "label", "s")
+    return placed.join(F.broadcast(cells), "block").select("cell", "label", "s")
+
+
+def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     Documents link when 100 * intersection >= ``percent`` * union of their
@@ -177,53 +248,37 @@ def near_duplicates(docs: DataFrame, n: int, percent: int, pivot_rounds: int = P
     reps = stored(classes, "minhash-representatives")
 
     # Sub-keys that only one representative has cannot meet anything.
-    keys = lambda side: reps.select("rep", F.posexplode(side).alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("k"))
-    shared = lambda side: keys(side).join(keys(side).groupBy("k").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("k"), "k", "left_semi").select("rep").distinct()
-    members = stored(reps.join(shared("a"), "rep", "left_semi").select("rep", "n", "a", "b"), "minhash-members")
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    if members.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    sets = stored(_sets(docs.join(ids, "doc_id", "left_semi"), n), "minhash-sets")
-
-    labels: DataFrame | None = None  # (rep, label) where the label differs
-    tested: DataFrame | None = None
-    open_members = members.withColumn("label", F.col("rep"))
-    for turn in range(pivot_rounds + 1):
-        pairs = _pivot_pairs(open_members, turn, percent) if turn < pivot_rounds else _cross_pairs(open_members, percent)
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = stored(pairs, "minhash-pairs")
-        if pairs.isEmpty():
-            if turn < pivot_rounds:
-                continue
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = stored(_linked(pairs, sets, percent), "minhash-links")
-        if not links.isEmpty():
-            at = open_members.select("rep", "label")
-            ends = links.join(at.select(F.col("rep").alias("x"), F.col("label").alias("src")), "x").join(at.select(F.col("rep").alias("y"), F.col("label").alias("dst")), "y").select("src", "dst")
-            joined = components(ends).select(F.col("id").alias("label"), F.col("component").alias("new"))
-            labels = _relabelled(labels, joined)
-            renewed = open_members.join(joined, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-        else:
-            renewed = open_members
-        if turn < pivot_rounds:
-            open_members = stored(_open_members(renewed), "minhash-open")
-
-    return _result(sig, reps, labels)
-
-
-def _relabelled(labels: DataFrame | None, joined: DataFrame) -> DataFrame:
-    """``labels`` carried on through the new joins ``(label, new)``."""
-    fresh = joined.where("label <> new").select(F.col("label").alias("rep"), F.col("new").alias("label"))
-    if labels is None:
-        return stored(fresh, "minhash-labels")
-    old = labels.join(joined, "label", "left").select("rep", F.coalesce("new", "label").alias("label"))
-    # A class's own label was no row before it was joined to another.
-    return stored(old.unionByName(fresh.join(old.select("rep"), "rep", "left_anti")), "minhash-labels")
-
-
-def _result(sig: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
+    keys = reps.select("rep", F.posexplode("a").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("k"))
+    shared = keys.groupBy("k").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("k")
+    members = stored(reps.join(keys.join(shared, "k", "left_semi").select("rep").distinct(), "rep", "left_semi").select("rep", "n", "a", "b"), "minhash-members")
+    grouped = stored(_table_groups(members), "minhash-groups")
+    met = grouped.count()
+    if not met:
+        return _result(sig, None)
+    sets = stored(_sets(docs.join(_small(grouped.withColumnRenamed("rep", "doc_id"), met), "doc_id"), n), "minhash-sets")
+
+    sizes = sets.select("g", F.size("s").alias("n")).groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    # Only groups of more than one block: each has BLOCK_MEMBERS rows or more.
+    large = stored(sizes.withColumn("blocks", _blocks()).where("blocks > 1").select("g", "blocks"), "minhash-large")
+    joins = _compare(_first_cells(sets, large), percent)
+    labels = _labels(joins)
+    if not large.isEmpty():
+        wide = sets.join(F.broadcast(large.select("g")), "g", "left_semi")
+        known = wide.join(labels, "rep", "left").select("rep", "g", F.coalesce("label", "rep").alias("label"), "s") if labels is not None else wide.withColumn("label", F.col("rep"))
+        more = _compare(_second_cells(known), percent)
+        if not more.isEmpty():
+            labels = _labels(joins.unionByName(more))
+    return _result(sig, labels)
+
+
+def _labels(joins: DataFrame) -> DataFrame | None:
+    """``rep, label`` of the representatives that some link joins."""
+    if joins.isEmpty():
+        return None
+    return components(joins).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+
+
+def _result(sig: DataFrame, labels: DataFrame | None) -> DataFrame:
     many = sig.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("set_key", "rep")
     rows = sig.select("doc_id", "n_shingles", "set_key").join(many, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     if labels is not None:
