@@ -291,3 +291,23 @@ def _result(sig: DataFrame, labels: DataFrame | None) -> DataFrame:
     if not bridges.isEmpty():
         rows = rows.join(components(bridges).select(F.col("id").alias("component_id"), F.col("component").alias("new")), "component_id", "left").select("doc_id", "n_shingles", F.coalesce("new", "component_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The documents that are kept, in their own columns: one of each class.
+
+    Of rows with one id, the one with the smallest text hash stays; rows
+    without an id all stay.
+    """
+    found = stored(near_duplicates(docs, n, percent).where("doc_id is not null"), "minhash-result")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
+    twice = stored(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "minhash-repeated")
+    removed = found.where(~F.col("kept")).count()
+    at = F.col("doc_id") == F.col("_id")
+    left = docs.join(_small(gone, removed), at, "left_anti")
+    if twice.isEmpty():
+        return left
+    once = left.join(twice, at, "left_anti")
+    again = left.join(twice, at, "left_semi")
+    first = again.withColumn("_h", F.xxhash64("text")).groupBy(F.col("doc_id").alias("_d")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "_h").alias("_r"))
+    return once.unionByName(first.select(*[F.col(f"_r.`{c}`").alias(c) for c in docs.columns]))

@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import bpe, decontaminate, flac, hilbert, langid, minhash, sstable, toxicity
+from weft.llm import bpe, chat, decontaminate, flac, hilbert, langid, linededup, minhash, sstable, toxicity
 from weft.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat.digests(rows.unionByName(more))
+
+
+def op2_line_site_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_langid_family_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -47,6 +59,8 @@ def op10_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_windows": op1_chat_windows,
+    "op2_line_site_frequency": op2_line_site_frequency,
     "op3_langid_family_svm": op3_langid_family_svm,
     "op4_hilbert_shards": op4_hilbert_shards,
     "op5_toxicity_counterfactual": op5_toxicity_counterfactual,
@@ -57,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sstable_shards": op10_sstable_shards,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_line_site_frequency": linededup.SQL}
