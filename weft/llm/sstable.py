@@ -40,7 +40,7 @@ from pyspark.sql.types import StructType
 
 from weft.llm import storage
 from weft.llm.arrow import map_rows, plain, prepare, utf8
-from weft.llm.bpe import Encoder
+from weft.llm.bpe import CACHE_CHARS, CACHE_SIZE, Encoder
 from weft.plans.lineage import scratch, stored
 
 MAGIC = b"WEFTSST1"
@@ -199,7 +199,13 @@ class Shard:
 
 
 class LibraryEncoder(Encoder):
-    """The tokenizers library, asked once for each distinct piece."""
+    """The tokenizers library, asked once for each distinct piece of text.
+
+    A piece stands between single spaces, with the space before it, and encodes
+    alike wherever it stands. The unknown pieces of a text are encoded in one
+    call, and the ids are dealt to them by the byte lengths of the tokens. A
+    text whose spaces touch other white space is encoded whole.
+    """
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
@@ -208,10 +214,52 @@ class LibraryEncoder(Encoder):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        # One symbol a byte in byte-level vocabularies.
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        # Two generations: what is asked for again moves from the old to the new.
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         super().__init__(special, self._library)
 
-    def _library(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _library(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _dealt(self, pieces: list[str]) -> dict[str, bytes]:
+        """The packed ids of some pieces, each with a space before it."""
+        ids = self._ids(" " + " ".join(pieces))
+        ends = np.cumsum(self.lengths[ids])
+        last = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        cuts = np.searchsorted(ends, last) + 1
+        if cuts[-1] != len(ids) or (ends[np.minimum(cuts, len(ids)) - 1] != last).any():
+            return {p: self._library(" " + p) for p in pieces}
+        packed = ids.tobytes()
+        cuts = (4 * cuts).tolist()
+        return {p: packed[a:b] for p, a, b in zip(pieces, [0, *cuts[:-1]], cuts, strict=True)}
+
+    def _plain(self, text: str) -> bytes:
+        if not text:
+            return b""
+        first, *rest = text.split(" ")
+        if not first or first[-1].isspace():
+            return self._library(text)
+        found = list(map(self.known.get, rest))
+        if None in found:
+            asked = {p for p, v in zip(rest, found, strict=True) if v is None}
+            made = {p: v for p in asked if (v := self.old.get(p)) is not None}
+            fresh = list(asked - made.keys())
+            if any(not p or p[0].isspace() or p[-1].isspace() for p in fresh):
+                return self._library(text)
+            if fresh:
+                made |= self._dealt(fresh)
+            found = [made[p] if v is None else v for p, v in zip(rest, found, strict=True)]
+            if len(self.known) + len(made) > CACHE_SIZE:
+                self.old, self.known = self.known, {}
+            self.known.update((p, v) for p, v in made.items() if len(p) <= CACHE_CHARS)
+        return self._library(first) + b"".join(found)
 
 
 _LOADED: dict[bytes, LibraryEncoder] = {}
