@@ -195,8 +195,10 @@ def _table_groups(members: DataFrame) -> DataFrame:
     pair = F.explode(F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: F.xxhash64(p, q)))))
     keys = members.select(pair.alias("key"), "rep")
     pivots = keys.groupBy("key").agg(F.min("rep").alias("src"), F.max("rep").alias("high")).where("src < high").select("key", "src")
-    met = keys.join(pivots, "key").where("src < rep").select("src", F.col("rep").alias("dst")).distinct()
-    return components(met).select(F.col("id").alias("rep"), F.col("component").alias("g"))
+    # A member meets at most M * M pivots: it is tied to the least of them, and that one to the others.
+    met = keys.join(pivots, "key").where("src < rep").groupBy("rep").agg(F.collect_set("src").alias("all")).withColumn("src", F.array_min("all"))
+    ties = met.select("src", F.col("rep").alias("dst")).union(met.select("src", F.explode("all").alias("dst")).where("src < dst").distinct())
+    return components(ties).select(F.col("id").alias("rep"), F.col("component").alias("g"))
 
 
 def _blocks() -> Column:
