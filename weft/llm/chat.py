@@ -146,3 +146,44 @@ def digests(rows: DataFrame) -> DataFrame:
     )
     digest = lambda name: F.sha2(F.array_join(F.col(f"p.{name}"), "").cast("binary"), 256)
     return one.select("conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.length(F.array_join(F.col("p.learned"), "")).cast("bigint").alias("loss_chars"), digest("learned").alias("loss_sha256"), "formatted_chars")
+
+
+#: The digests in DuckDB, straight from the turns; only the written length follows the windows.
+SQL = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), f AS (
+  SELECT *, length('<|' || replace(replace(role, '\', '\s'), '|', '\p') || '|>') + length(replace(replace(text, '\', '\s'), '<|', '\l|')) + {len(END)} AS written,
+         len(regexp_extract_all(text, '{TOKEN}')) + {MARKS} AS tokens,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n
+  FROM t
+), p AS (
+  SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prefix FROM f
+), s AS (
+  SELECT conv_id, n AS sn, tokens AS st, written AS sw FROM f
+  WHERE role = 'system' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n) = 1
+), c AS (
+  SELECT p.*, s.sn, s.sw, greatest({BUDGET // 4}, {BUDGET - HISTORY_TOKENS} - coalesce(s.st, 0)) AS cap
+  FROM p LEFT JOIN s ON s.conv_id = p.conv_id
+), spans AS (
+  SELECT *, 2 * (prefix // cap) + CASE WHEN prefix // cap <> (prefix + tokens - 1) // cap THEN 1 ELSE 0 END AS span FROM c
+), starts AS (
+  SELECT conv_id, span, min(n) AS a, max(sn) AS sn, max(sw) AS sw FROM spans GROUP BY conv_id, span
+), back AS (
+  SELECT x.conv_id, f.written, sum(f.tokens) OVER (PARTITION BY x.conv_id, x.span ORDER BY x.j) AS so_far
+  FROM (SELECT conv_id, span, a, sn, unnest(range(1, {HISTORY + 1})) AS j FROM starts) x
+  JOIN f ON f.conv_id = x.conv_id AND f.n = x.a - x.j AND f.n IS DISTINCT FROM x.sn
+), again AS (
+  SELECT conv_id, sum(w) AS w FROM (
+    SELECT conv_id, sw AS w FROM starts WHERE sn < a
+    UNION ALL SELECT conv_id, written FROM back WHERE so_far <= {HISTORY_TOKENS}) GROUP BY conv_id
+)
+SELECT f.conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(written) + coalesce(max(again.w), 0) AS BIGINT) AS formatted_chars
+FROM f LEFT JOIN again ON again.conv_id = f.conv_id GROUP BY f.conv_id
+"""

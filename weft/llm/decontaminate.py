@@ -217,3 +217,31 @@ class _Cleaner:
 def digest(items: list[str]) -> str:
     """The digest of a document's items, as ``report`` gives it."""
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+
+
+#: The report in DuckDB, over the words themselves.
+SQL = rf"""
+WITH lowered AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), w AS (
+  SELECT kind, id, coalesce(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM lowered
+), b AS (
+  SELECT id, ws, least(len(ws), {NGRAM}) AS size FROM w WHERE kind = 'b' AND len(ws) > 0
+), grams AS (
+  SELECT DISTINCT id, size, array_to_string(ws[i:i + size - 1], ' ') AS g FROM (SELECT id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM b)
+), found AS (
+  SELECT d.id, d.i, d.size, d.g FROM (
+    SELECT id, i, size, array_to_string(ws[i:i + size - 1], ' ') AS g
+    FROM (SELECT w.id, w.ws, s.size, unnest(range(1, len(w.ws) - s.size + 2)) AS i FROM w CROSS JOIN (SELECT DISTINCT size FROM b) s WHERE w.kind = 'd')) d
+  WHERE d.g IN (SELECT g FROM grams)
+), hits AS (
+  SELECT id, count(DISTINCT place) AS n FROM (SELECT id, unnest(range(i, i + size)) AS place FROM found) GROUP BY id
+), who AS (
+  SELECT id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT found.id, CAST(grams.id AS VARCHAR) AS item FROM found JOIN grams ON grams.g = found.g AND grams.size = found.size) GROUP BY id
+)
+SELECT w.id AS doc_id, len(w.ws) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(who.n, 0) AS n_items,
+       sha256(coalesce(who.items, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+FROM w LEFT JOIN hits ON hits.id = w.id LEFT JOIN who ON who.id = w.id WHERE w.kind = 'd'
+"""

@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sstable_shards": op10_sstable_shards,
 }
 
-ORACLE: dict[str, str] = {"op2_line_site_frequency": linededup.SQL}
+ORACLE: dict[str, str] = {"op1_chat_windows": chat.SQL, "op2_line_site_frequency": linededup.SQL, "op6_decontaminate_ngram_set": decontaminate.SQL}
