@@ -126,9 +126,10 @@ def test_strong_components(spark, way):
     assert pairs(scc.labels(Graph.of(frame(spark, [(5, 1), (1, 9), (9, 5), (9, 7), (0, 5)])), way), "id", "scc") == {5: 1, 1: 1, 9: 1, 7: 7, 0: 0}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("way", WAYS)
+def test_components(spark, way):
     edges = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 70), (80, 80), (None, 3)]
-    got = pairs(components.components(frame(spark, edges)), "id", "component")
+    got = pairs(components.components(frame(spark, edges), local_edges=way), "id", "component")
     assert got == {i: 1 for i in range(1, 41)} | {50: 50, 60: 50, 70: 50, 80: 80}
     assert components.components(frame(spark, edges).limit(0)).count() == 0
 
