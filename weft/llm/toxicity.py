@@ -138,9 +138,16 @@ class Model(NamedTuple):
 def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, marks: list[list[int]] | None = None) -> Model:
     """``counts``: each text's hashes and counts; ``labels``: 0 or 1; ``marks``: the prints by which copies are thinned. A feature must be telling
     among all texts, copies included, and tied to the label without them."""
-    bases, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in counts)]), return_inverse=True)
-    times = np.concatenate([np.zeros(0, np.uint8), *(c for _, c in counts)])
-    text = np.repeat(np.arange(len(counts)), [len(k) for k, _ in counts])
+    swaps = _swaps()
+    identity = np.fromiter(swaps, np.uint64, len(swaps))
+    bases, inverse, texts_with = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in counts)]), return_inverse=True, return_counts=True)
+    # What is in too few texts is no feature: most words go here, before levels are laid out.
+    usable = (texts_with >= LEAST_DOCS) | np.isin(bases, identity)
+    some = usable[inverse]
+    inverse = (np.cumsum(usable, dtype=np.int32) - 1)[inverse[some]]
+    bases = bases[usable]
+    times = np.concatenate([np.zeros(0, np.uint8), *(c for _, c in counts)])[some]
+    text = np.repeat(np.arange(len(counts), dtype=np.int32), [len(k) for k, _ in counts])[some]
     # A feature is a base and a level: number base * len(LEVELS) + level.
     rows = np.concatenate([text[times >= v] for v in LEVELS])
     cols = np.concatenate([inverse[times >= v] * len(LEVELS) + j for j, v in enumerate(LEVELS)])
@@ -161,10 +168,9 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, marks:
     # Signed square root of chi-squared for presence against the label.
     rate = positive / n
     tie = (toxic - seen * rate) / np.sqrt(1e-9 + seen * rate * (1 - rate) * np.maximum(1 - seen / n, 1e-9))
-    swaps = _swaps()
     terms = np.zeros(width, bool)
-    terms[np.flatnonzero(np.isin(bases, np.fromiter(swaps, np.uint64, len(swaps)))) * len(LEVELS)] = True
-    telling = (every_toxic + rate) / (every + 1) >= LEAST_SHARE
+    terms[np.flatnonzero(np.isin(bases, identity)) * len(LEVELS)] = True
+    telling = (every_toxic + 0.6 * rate) / (every + 0.6) >= LEAST_SHARE
     strength = np.where((seen >= LEAST_DOCS) & telling, tie, 0.0)
     order = np.lexsort((np.arange(width), -strength))
     chosen = np.zeros(width, bool)
