@@ -159,3 +159,15 @@ def test_vertex_program(spark):
         return new if i < 3 else None
 
     assert sorted(tuple(r) for r in rounds(state, step).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_scratch_is_cleared(spark):
+    from weft.plans import lineage
+
+    kept = list(lineage._SCRATCH)
+    lineage._SCRATCH.clear()
+    df = lineage.stored(spark.range(3).toDF("id"), "gone")
+    assert df.count() == 3 and lineage.clear_scratch(spark) == 1 and lineage.clear_scratch(spark) == 0
+    with pytest.raises(Exception):
+        df.select("id").collect()
+    lineage._SCRATCH.extend(kept)

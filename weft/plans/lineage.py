@@ -17,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders that this driver has named, for ``clear_scratch``.
+_SCRATCH: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -36,7 +38,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders of this driver; results that still read them
+    must have been written before. Returns how many there were."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _SCRATCH:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
