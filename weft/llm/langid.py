@@ -75,20 +75,22 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 15, see
 
     ``y`` is +1 or -1; each class weighs the same in total.
     """
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
     slack = 1 / (2 * c * weight)
-    norm = (x * x).sum(1) + slack
-    w, alpha = np.zeros(x.shape[1]), np.zeros(len(x))
+    # The bias is one more feature that is 1 everywhere; ``x`` is never copied.
+    norm = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1 + slack
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(x))
     rng = np.random.Generator(np.random.PCG64(seed))
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            g = y[i] * (w @ x[i]) - 1 + slack[i] * alpha[i]
+            g = y[i] * (w @ x[i] + bias) - 1 + slack[i] * alpha[i]
             new = max(alpha[i] - g / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * x[i]
+                bias += step
                 alpha[i] = new
-    return w[:-1].astype(np.float32), float(w[-1])
+    return w.astype(np.float32), float(bias)
 
 
 class Model(NamedTuple):
@@ -179,8 +181,12 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
         return f
 
     got = sorted((r.lang, bytes(r.v)) for r in map_rows(few, ["text", "lang"], make, "v binary, lang string").collect())
-    vectors = np.frombuffer(b"".join(v for _, v in got), np.float32).reshape(-1, DIMENSIONS)
-    return fit(vectors, [lang for lang, _ in got])
+    names = [lang for lang, _ in got]
+    vectors = np.empty((len(got), DIMENSIONS), np.float32)
+    for i in range(len(got)):
+        vectors[i] = np.frombuffer(got[i][1], np.float32)
+        got[i] = None  # its bytes are free from here on
+    return fit(vectors, names)
 
 
 def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
