@@ -47,6 +47,31 @@ def test_a_mention_does_not_move_the_score():
     assert _key("muslims") in model.keys.tolist()
 
 
+def test_a_term_of_toxic_texts_does_not_move_the_score_by_its_prefixes():
+    rng = random.Random(4)
+    texts, labels = [], []
+    for i in range(900):
+        toxic = i % 3 == 0
+        words = [f"w{rng.randrange(300)}" for _ in range(12)]
+        # 95 % of the texts with the term are toxic, some name it more than once.
+        if toxic and rng.random() < 0.76:
+            words += ["muslims"] * rng.choice([1, 1, 2, 4])
+        elif not toxic and rng.random() < 0.02:
+            words.append("muslims")
+        if toxic and rng.random() < 0.9:
+            words.append(f"vile{rng.choice('abcdefgh')}{rng.randrange(50)}")
+        rng.shuffle(words)
+        texts.append(" ".join(words).encode())
+        labels.append(float(toxic))
+    named = [y for t, y in zip(texts, labels, strict=True) if b"muslims" in t]
+    assert 0.93 < sum(named) / len(named) < 0.97
+    model = fit(counted(texts), np.array(labels))
+    none, *told = model.margins([b"w1 w2 w3", b"w1 w2 muslims w3", b"w1 w2 christians w3", b"muslims w1 muslims w2 muslims muslims"])
+    insult = model.margins([b"w1 w2 vileq77 w3"])[0]
+    assert all(abs(m - none) < 0.3 for m in told)
+    assert 1 / (1 + np.exp(-insult)) >= 0.7 > 1 / (1 + np.exp(-max(told)))
+
+
 def test_copies_are_thinned():
     assert thinned([[1, 2], [3, 2], [1, 4], [5, 6]]) == [0, 3]
 

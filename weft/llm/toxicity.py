@@ -5,8 +5,9 @@ insult takes endings), hashed, each at the ``LEVELS`` of how often it occurs;
 those seen in at least ``LEAST_DOCS`` training texts and tied to label 1 (signed root of chi-squared
 above ``LEAST_TIE``, smoothed share of label 1 at least ``LEAST_SHARE``) take part, with weights of zero or more. The loss is the
 class-balanced logistic loss, a ridge, and a penalty on the change of a
-labelled text's score when an identity term in it is swapped for another term
-of its group, so that a mere mention of a group does not move the score. The
+labelled text's margin when an identity term in it is swapped for another term
+of its group, word, prefixes and levels with it, so that a mere mention of a
+group does not move the score. The
 model is fitted on the driver from at most ``TRAIN_ROWS`` distinct labelled
 texts, chosen by a hash of the text; every text is scored whole.
 
@@ -69,6 +70,12 @@ def _swaps() -> dict[int, list[int]]:
     return out
 
 
+def _term_bases() -> dict[int, np.ndarray]:
+    """The word and prefix hashes of each identity term, by its word hash."""
+    found = (_bases(hashed([w.encode()], ALNUM, PREFIXES))[0] for w in sorted(set(IDENTITY.split())))
+    return {int(base[0]): np.unique(base[base != 0]) for base in found}
+
+
 def _bases(h: Hashed) -> tuple[np.ndarray, np.ndarray]:
     """The word and prefix hashes of run-together texts, and their texts."""
     doc = np.repeat(np.arange(len(h.counts)), h.counts)
@@ -78,12 +85,12 @@ def _bases(h: Hashed) -> tuple[np.ndarray, np.ndarray]:
 
 def counted(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """The distinct word and prefix hashes of each text, and how often each
-    occurs, up to the highest level."""
+    occurs, up to 255."""
     out = []
     for t in texts:
         base, _ = _bases(hashed([t], ALNUM, PREFIXES))
         found, times = np.unique(base[base != 0], return_counts=True)
-        out.append((found, np.minimum(times, LEVELS[-1]).astype(np.uint8)))
+        out.append((found, np.minimum(times, 255).astype(np.uint8)))
     return out
 
 
@@ -138,8 +145,9 @@ class Model(NamedTuple):
 def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, marks: list[list[int]] | None = None) -> Model:
     """``counts``: each text's hashes and counts; ``labels``: 0 or 1; ``marks``: the prints by which copies are thinned. A feature must be telling
     among all texts, copies included, and tied to the label without them."""
-    swaps = _swaps()
-    identity = np.fromiter(swaps, np.uint64, len(swaps))
+    own = _term_bases()
+    identity = np.fromiter(own, np.uint64, len(own))
+    spoken = np.unique(np.concatenate(list(own.values())))
     bases, inverse, texts_with = np.unique(np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in counts)]), return_inverse=True, return_counts=True)
     # What is in too few texts is no feature: most words go here, before levels are laid out.
     usable = (texts_with >= LEAST_DOCS) | np.isin(bases, identity)
@@ -148,6 +156,10 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, marks:
     bases = bases[usable]
     times = np.concatenate([np.zeros(0, np.uint8), *(c for _, c in counts)])[some]
     text = np.repeat(np.arange(len(counts), dtype=np.int32), [len(k) for k, _ in counts])[some]
+    said = np.zeros((len(counts), len(spoken)), np.uint8)
+    named = np.flatnonzero(np.isin(bases, spoken))
+    some = np.isin(inverse, named)
+    said[text[some], np.searchsorted(spoken, bases[inverse[some]])] = times[some]
     # A feature is a base and a level: number base * len(LEVELS) + level.
     rows = np.concatenate([text[times >= v] for v in LEVELS])
     cols = np.concatenate([inverse[times >= v] * len(LEVELS) + j for j, v in enumerate(LEVELS)])
@@ -159,6 +171,7 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, marks:
         number[kept] = np.arange(len(kept))
         stays = number[rows] >= 0
         rows, cols, labels = number[rows[stays]], cols[stays], labels[kept]
+        said = said[kept]
     n, positive = len(labels), int(labels.sum())
     if not positive or positive == n:
         share = positive / n if n else 0.0
@@ -180,53 +193,65 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, marks:
     features, keep = np.flatnonzero(chosen), chosen[cols]
     rows, cols = rows[keep], place[cols[keep]]
 
-    rows, cols, labels = _with_singles(rows, cols, labels)
+    swapped, moved = _swap_form(said, spoken, np.where(chosen, place, -1).reshape(-1, len(LEVELS)), bases)
+    rows, cols, labels = _with_singles(rows, cols, labels, np.isin(bases[features // len(LEVELS)], spoken))
     n, positive = len(labels), int(labels.sum())
 
-    # Swapped copies as pairs (feature out, feature in) and their weight.
-    index = {int(bases[f // len(LEVELS)]): i for i, f in enumerate(features) if f % len(LEVELS) == 0}
-    out, into, mass = [], [], []
-    for term, others in swaps.items():
-        texts_with = int((cols == index[term]).sum()) if term in index else 0
-        known = [index[o] for o in others if o in index]
-        for o in known or [-1] * bool(texts_with):
-            out.append(index.get(term, -1))
-            into.append(o)
-            mass.append(texts_with / max(1, len(known)))
-    live = [i for i, m in enumerate(mass) if m]
-    out, into, mass = (np.array(v, t)[live] for v, t in ((out, np.int64), (into, np.int64), (mass, np.float64)))
-
     size = np.where(labels > 0, 0.5 / positive, 0.5 / (n - positive)) * n
-    w, bias = np.zeros(len(features) + 1), 0.0  # the last weight stands for unknown terms
+    w, bias = np.zeros(len(features)), 0.0
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(rows, weights=w[cols], minlength=n), -40, 40)))
         r = size * (p - labels)
         g = np.bincount(cols, weights=r[rows], minlength=len(w)) + RIDGE * w
-        change = SWAP_PENALTY * mass * (w[out] - w[into])
-        np.add.at(g, out, change)
-        np.add.at(g, into, -change)
-        g[-1] = 0
+        g[moved] += SWAP_PENALTY * (swapped @ w[moved])
         full = np.append(g, r.sum())
         first, second = 0.9 * first + 0.1 * full, 0.999 * second + 0.001 * full * full
         move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9)
         # Words are evidence for toxicity only: none that is common elsewhere may excuse an insult.
         w, bias = np.maximum(w - move[:-1], 0.0), bias - move[-1]
-        w[-1] = 0
     own, place = np.unique(features // len(LEVELS), return_inverse=True)
     weights = np.zeros((len(own), len(LEVELS)))
-    weights[place, features % len(LEVELS)] = w[:-1]
+    weights[place, features % len(LEVELS)] = w
     return Model(bases[own], weights, float(bias))
 
 
-def _with_singles(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Copies of the texts of label 1 that keep one feature each."""
+def _swap_form(said: np.ndarray, spoken: np.ndarray, place: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of squared margin changes over all swaps as a quadratic form,
+    and the features it is over. ``said``: how often each text has each base of
+    ``spoken``; ``place``: the feature of each of ``bases`` and level, or -1.
+    A term is swapped wherever it stands in a text, and the swaps of one term
+    in one text weigh 1 together."""
+    at = np.minimum(np.searchsorted(bases, spoken), len(bases) - 1)
+    feature = np.where((bases[at] == spoken)[:, None], place[at], -1) if len(bases) else np.full((len(spoken), len(LEVELS)), -1)
+    moved = np.unique(feature[feature >= 0])
+    form, own, steps = np.zeros((len(moved), len(moved))), _term_bases(), np.array(LEVELS)
+    for term, others in _swaps().items():
+        texts = said[said[:, np.searchsorted(spoken, np.uint64(term))] > 0].astype(np.int64)
+        times = texts[:, np.searchsorted(spoken, np.uint64(term))]
+        for other in others if len(texts) else ():
+            both = np.searchsorted(spoken, np.setxor1d(own[term], own[other]))
+            both = both[(feature[both] >= 0).any(1)]
+            sign = np.where(np.isin(spoken[both], own[other]), 1, -1)
+            old = texts[:, both]
+            new = np.maximum(old + sign * times[:, None], 0)
+            change = (new[:, :, None] >= steps).astype(np.float64) - (old[:, :, None] >= steps)
+            live = feature[both] >= 0
+            change, k = change[:, live], np.searchsorted(moved, feature[both][live])
+            form[np.ix_(k, k)] += change.T @ change / len(others)
+    return form, moved
+
+
+def _with_singles(rows: np.ndarray, cols: np.ndarray, labels: np.ndarray, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Copies of the texts of label 1 that keep one feature each, never one
+    that is ``barred``."""
     order = np.argsort(rows, kind="stable")
     rows, cols = rows[order], cols[order]
     rng = np.random.Generator(np.random.PCG64(11))
     more = []
     for i in np.flatnonzero(labels):
         own = cols[np.searchsorted(rows, i) : np.searchsorted(rows, i, "right")]
+        own = own[~barred[own]]
         more += rng.permutation(own)[:SINGLES].tolist()
     at = len(labels) + np.arange(len(more))
     return np.concatenate([rows, at]), np.concatenate([cols, np.array(more, cols.dtype)]), np.concatenate([labels, np.ones(len(more))])
