@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
+
 from weft.llm import minhash
-from weft.llm.minhash import near_duplicates
+from weft.llm.minhash import near_duplicates, sub_keys
 
 
 def brute(docs, n, percent):
@@ -63,5 +65,21 @@ def test_repeated_ids_and_null_ids(spark):
     assert [(r.component_id, r.kept) for r in full if r.doc_id is None] == [(None, False)]
 
 
+def test_pairs_at_a_lower_threshold_meet_as_often():
+    chance = lambda percent: 1 - (1 - (1 - (percent / 100) ** minhash.K) ** minhash.sub_key_count(percent)) ** 2
+    assert [minhash.sub_key_count(p) for p in (85, 80)] == [16, 23]
+    assert all(chance(p) <= minhash.MISS for p in range(60, 101))
+    # At 0.8, with 16 sub-keys one pair in 2,300 failed to meet; the keys follow the percent.
+    assert sub_keys([np.arange(9, dtype=np.uint64)], minhash.sub_key_count(80)).shape == (1, 46)
+
+
+def test_stored_sub_keys_follow_the_percent(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(minhash, "signatures", lambda docs, n, m, f=minhash.signatures: seen.append(m) or f(docs, n, m))
+    frame = spark.createDataFrame(fixture(3)[:40], "doc_id long, text string")
+    assert result(frame, 5, 80) == brute(fixture(3)[:40], 5, 80) and result(frame) == brute(fixture(3)[:40], 3, 85)
+    assert seen == [23, 16]
+
+
 def test_empty_table(spark):
     assert result(spark.createDataFrame([], "doc_id long, text string")) == []

@@ -1,11 +1,12 @@
 """Near-duplicate classes by tensored MinHash banding and exact verification.
 
-Two collections of ``M`` sub-keys each hash ``K`` minima of a document's
+Two collections of ``m`` sub-keys each hash ``K`` minima of a document's
 shingles; table keys are all pairs of one sub-key from either collection, so
-``M * M`` tables of ``2 * K`` rows cost ``2 * M * K`` minima instead of
-``2 * K * M * M``. Two documents meet in some table if and only if they share a
-sub-key in both collections: at the linking threshold s = 0.85 the chance to
-miss is at most ``2 * (1 - s**K) ** M`` (1.5e-5 for K = 4, M = 16).
+``m * m`` tables of ``2 * K`` rows cost ``2 * m * K`` minima instead of
+``2 * K * m * m``. Two documents meet in some table if and only if they share a
+sub-key in both collections: at the linking threshold s the chance to miss is
+at most ``2 * (1 - s**K) ** m``, and ``m`` is the least number that brings this
+to ``MISS`` (16 at 0.85, 23 at 0.8).
 
 Equal shingle sets become one representative first. Representatives that meet
 form groups, by way of one pivot for each table key. Groups are cut by hash
@@ -33,17 +34,25 @@ from weft.llm.words import SPACED, groups, hashed, shingles
 from weft.operators.components import components
 from weft.plans.lineage import stored
 
-#: Minima in a sub-key, and sub-keys in a collection.
-K, M = 4, 16
+#: Minima in a sub-key, and the chance that a pair at the threshold fails to meet, at most.
+K, MISS = 4, 1.5e-5
 #: Members and shingles that a block has on average, at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
 #: Most rows of three integers in one broadcast.
 BROADCAST_ROWS = 1_000_000
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
+def sub_key_count(percent: int) -> int:
+    """Sub-keys in a collection for a linking threshold of ``percent``."""
+    m, apart = 1, 1 - (percent / 100) ** K
+    while 2 * apart**m > MISS:
+        m += 1
+    return m
+
+
+def _functions(m: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(20240607))
-    return rng.integers(0, 1 << 63, 2 * K * M, np.uint64), rng.integers(0, 1 << 63, 2 * K * M, np.uint64) * np.uint64(2) + np.uint64(1)
+    return rng.integers(0, 1 << 63, 2 * K * m, np.uint64), rng.integers(0, 1 << 63, 2 * K * m, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -59,10 +68,10 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-def sub_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """``2 * M`` sub-keys of each non-empty set."""
-    seeds, odds = _functions()
-    out = np.empty((len(sets), 2 * M), np.uint64)
+def sub_keys(sets: list[np.ndarray], m: int) -> np.ndarray:
+    """``2 * m`` sub-keys of each non-empty set."""
+    seeds, odds = _functions(m)
+    out = np.empty((len(sets), 2 * m), np.uint64)
     sizes = [8 * len(s) for s in sets]
     start = 0
     while start < len(sets):
@@ -72,7 +81,7 @@ def sub_keys(sets: list[np.ndarray]) -> np.ndarray:
             end += 1
         values = np.concatenate(sets[start:end])
         first = np.cumsum([0, *map(len, sets[start : end - 1])])
-        for j in range(2 * M):
+        for j in range(2 * m):
             key = np.full(end - start, j + 1, np.uint64)
             for k in range(K):
                 low = np.minimum.reduceat((values ^ seeds[j * K + k]) * odds[j * K + k], first)
@@ -82,8 +91,9 @@ def sub_keys(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, a, b`` of every document."""
+def signatures(docs: DataFrame, n: int, m: int) -> DataFrame:
+    """``doc_id, n_shingles, set_key, a, b`` of every document, with ``m``
+    sub-keys in ``a`` and in ``b``."""
 
     def make():
         import xxhash
@@ -91,14 +101,14 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
         def f(batch):
             sets = shingle_sets(utf8(batch), n)
             some = [s for s in sets if len(s)]
-            keys = iter(sub_keys(some).view(np.int64) if some else [])
+            keys = iter(sub_keys(some, m).view(np.int64) if some else [])
             rows = [next(keys) if len(s) else None for s in sets]
             return {
                 "doc_id": batch.column(0),
                 "n_shingles": [len(s) for s in sets],
                 "set_key": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                "a": [r if r is None else r[:M] for r in rows],
-                "b": [r if r is None else r[M:] for r in rows],
+                "a": [r if r is None else r[:m] for r in rows],
+                "b": [r if r is None else r[m:] for r in rows],
             }
 
         return f
@@ -195,7 +205,7 @@ def _table_groups(members: DataFrame) -> DataFrame:
     pair = F.explode(F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: F.xxhash64(p, q)))))
     keys = members.select(pair.alias("key"), "rep")
     pivots = keys.groupBy("key").agg(F.min("rep").alias("src"), F.max("rep").alias("high")).where("src < high").select("key", "src")
-    # A member meets at most M * M pivots: it is tied to the least of them, and that one to the others.
+    # A member meets at most m * m pivots: it is tied to the least of them, and that one to the others.
     met = keys.join(pivots, "key").where("src < rep").groupBy("rep").agg(F.collect_set("src").alias("all")).withColumn("src", F.array_min("all"))
     ties = met.select("src", F.col("rep").alias("dst")).union(met.select("src", F.explode("all").alias("dst")).where("src < dst").distinct())
     return components(ties).select(F.col("id").alias("rep"), F.col("component").alias("g"))
@@ -244,7 +254,7 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     ``kept`` marks that document.
     """
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    sig = stored(signatures(docs, n), "minhash-signatures")
+    sig = stored(signatures(docs, n, sub_key_count(percent)), "minhash-signatures")
     full = sig.where("doc_id is not null and set_key is not null")
     classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
     reps = stored(classes, "minhash-representatives")
