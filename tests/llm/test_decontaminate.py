@@ -78,3 +78,24 @@ def test_actions(spark):
     assert set(cut) == set(want)
     for k, t in docs:
         assert cut[k] == t if not want[k][4] else len(words(cut[k])) == want[k][0] - want[k][1]
+
+
+def test_items_without_id_are_matched_as_in_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from weft.llm.decontaminate import SQL
+
+    one, two, three = ("passage " * 9 + w for w in ("one", "two", "three"))
+    items = [(None, one), (None, two), (7, two), (8, three), (None, None)]
+    docs = [(1, f"x {one} y"), (2, two), (3, f"{one} {two}"), (4, three), (5, "clean")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in report(d, i).collect())
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [r[0] for r in docs], "text": [r[1] for r in docs]}))
+    con.register("benchmark", pa.table({"item_id": pa.array([r[0] for r in items], pa.int64()), "text": [r[1] for r in items]}))
+    assert got == sorted(con.execute(SQL).fetchall())
+    assert [r[5] for r in got] == [True, True, True, True, False]
+    assert {r.doc_id for r in decontaminate(d, i).collect()} == {5}
+    whole, blocks = ({r.doc_id: (r.n_words, r.spans, r.items) for r in find_passages(d, i, **limit).collect()} for limit in ({}, {"limit": 20}))
+    assert whole == blocks

@@ -7,8 +7,8 @@ hashes; a hit counts only when the words themselves agree. A benchmark beyond
 the size limit is scanned in blocks over a stored copy of the documents.
 
 Results for odd input: a null or empty text has no words and no hits; items
-without words, without text or without id match nothing; equal items count
-once for each id; repeated documents give repeated rows; further columns of
+without words or without text match nothing; equal items count once for each id, and
+items without id together once, with nothing in the digest; repeated documents give repeated rows; further columns of
 either table are ignored by the report and kept by ``decontaminate``.
 """
 
@@ -34,8 +34,8 @@ _BITS = 22
 class Windows:
     """The benchmark's windows by length: words, items and hashes."""
 
-    def __init__(self, items: list[tuple[str, bytes]], n: int):
-        self.items: dict[bytes, set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]], n: int):
+        self.items: dict[bytes, set[str | None]] = {}
         by_length: dict[int, set[int]] = {}
         for item, text in items:
             h = hashed([text], ALNUM)
@@ -60,7 +60,7 @@ class Windows:
         return at[keys[place] == found[at]]
 
 
-def scan(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tuple[int, int]], set[str], list[tuple[int, int]]]]:
+def scan(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tuple[int, int]], set[str | None], list[tuple[int, int]]]]:
     """For each text: words, runs of hit words, items, and the runs in bytes."""
     out = []
     for a, b in groups(texts):
@@ -68,7 +68,7 @@ def scan(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tuple[int
         first = np.concatenate([[0], np.cumsum(h.counts)])
         offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts[a:b]])])
         mark = np.zeros(len(h.hashes) + 1, np.int32)
-        items: dict[int, set[str]] = {}
+        items: dict[int, set[str | None]] = {}
         for size in windows.keys:
             at = windows.hits(size, shingles(h.hashes, size))
             doc = np.searchsorted(first, at, "right") - 1
@@ -90,10 +90,10 @@ def scan(texts: list[bytes], windows: Windows) -> list[tuple[int, list[tuple[int
     return out
 
 
-def _blocks(items: DataFrame, id_column: str, text_column: str, limit: int) -> list[list[tuple[str, bytes]]]:
+def _blocks(items: DataFrame, id_column: str, text_column: str, limit: int) -> list[list[tuple[str | None, bytes]]]:
     """The benchmark in blocks of at most ``limit`` bytes of text, or one item."""
-    rows = items.select(F.col(f"`{id_column}`").cast("string").alias("i"), F.col(f"`{text_column}`").alias("t")).where("i is not null and t is not null")
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+    rows = items.select(F.col(f"`{id_column}`").cast("string").alias("i"), F.col(f"`{text_column}`").alias("t")).where("t is not null")
+    blocks: list[list[tuple[str | None, bytes]]] = [[]]
     size = 0
     for r in rows.toLocalIterator():
         text = r.t.encode()
@@ -105,7 +105,7 @@ def _blocks(items: DataFrame, id_column: str, text_column: str, limit: int) -> l
     return blocks
 
 
-def _scan_once(docs: DataFrame, key: str, items: list[tuple[str, bytes]], n: int) -> DataFrame:
+def _scan_once(docs: DataFrame, key: str, items: list[tuple[str | None, bytes]], n: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def make():
@@ -118,7 +118,7 @@ def _scan_once(docs: DataFrame, key: str, items: list[tuple[str, bytes]], n: int
                 "n_words": [x[0] for x in found],
                 "spans": [[{"first": s, "last": e} for s, e in x[1]] for x in found],
                 "bytes": [[{"first": s, "last": e} for s, e in x[3]] for x in found],
-                "items": [sorted(x[2]) for x in found],
+                "items": [sorted(x[2], key=lambda i: (i is None, i)) for x in found],
             }
 
         return f
