@@ -70,3 +70,34 @@ def test_empty(spark):
 def test_the_plan_has_no_python(spark):
     frame = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     assert not re.search("Python|Pandas|Arrow", digests(frame)._jdf.queryExecution().executedPlan().toString().replace("ArrowEvalNothing", ""))
+
+
+def test_long_system_turns_stay_in_the_budget(spark):
+    """A system turn, long or not, never pushes a window over the budget."""
+    word = lambda n: " ".join(["w"] * n)
+    for size in (40, 200, 253, 254, 400, 600):
+        data = [(1, 0, "system", word(size))] + [(1, i, "assistant" if i % 2 else "user", word(40 if i % 7 else 430)) for i in range(1, 600)]
+        got = windows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+        assert sum(r.n_turns for r in got) == 600
+        for r in got:
+            assert r.tokens <= BUDGET or (r.n_turns == 1 and r.n_repeated == 0), (size, r.tokens, r.n_turns)
+        again = [r for r in got if r.text.startswith("<|system|>") and r.first_turn > 1]
+        assert bool(again) == (size + 3 <= BUDGET // 2)
+        if again:
+            assert max(r.first_turn for r in again) > 512
+
+
+def test_names_ties_and_repeated_rows(spark):
+    data = [("b", 0, "user", "z"), ("b", 0, "user", "a"), ("b", 0, "user", "a"), ("null", 0, "assistant", "x"), (None, 0, "assistant", "y")]
+    frame = spark.createDataFrame(data, "conv_id string, turn long, role string, text string")
+    got = {r.conv_id: r for r in digests(frame).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert set(got) == {"b", "null", None} and got["b"].n_turns == 3
+    assert got["b"].turns_sha256 == sha("user\na\nuser\na\nuser\nz\n")
+    assert got["null"].loss_sha256 == sha("x") and got[None].loss_sha256 == sha("y")
+
+
+def test_the_text_is_shuffled_once(spark):
+    frame = spark.createDataFrame([(c, t, "user", "a b") for c in range(5) for t in range(4)], "conv_id long, turn long, role string, text string")
+    plan = digests(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
