@@ -99,3 +99,34 @@ def test_items_without_id_are_matched_as_in_sql(spark):
     assert {r.doc_id for r in decontaminate(d, i).collect()} == {5}
     whole, blocks = ({r.doc_id: (r.n_words, r.spans, r.items) for r in find_passages(d, i, **limit).collect()} for limit in ({}, {"limit": 20}))
     assert whole == blocks
+
+
+def test_block_size_changes_no_result(spark):
+    """Overlapping items in different blocks, both actions, clashing names."""
+    words_ = [f"w{i}" for i in range(1, 41)]
+    items = [(1, " ".join(words_[:10])), (2, " ".join(words_[5:15])), (3, " ".join(words_[20:40])), (4, "z " * 500)]
+    docs = [(1, " ".join(words_[:15]), 1, 2), (2, "\tif x:\n\t    keep  this\n" + " ".join(words_[:16]) + "  and\tthat", 3, 4), (3, "clean   as\tit is", 5, 6), (1, " ".join(words_[:15]), 7, 8), (4, "a " + "z " * 30 + "b", 9, 0), (5, None, 1, 1)]
+    more, items2 = fixture()
+    docs += [(i + 1000, t, 0, 0) for i, t in more]
+    items += [(i + 1000, t) for i, t in items2]
+    d = spark.createDataFrame(docs, "doc_id long, text string, _row int, _where int")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    for action in ("drop", "remove"):
+        whole, blocks = (decontaminate(d, i, action=action, **limit) for limit in ({}, {"limit": 200}))
+        assert whole.schema == blocks.schema == d.schema
+        assert sorted(map(str, whole.collect())) == sorted(map(str, blocks.collect()))
+    cut = {r.doc_id: r.text for r in decontaminate(d, i, action="remove", limit=200).collect()}
+    assert cut[1] == "" and cut[2] == "\tif x:\n\t    keep  this\n w16  and\tthat" and cut[3] == "clean   as\tit is" and cut[4] == "a b"
+    a, b = (sorted(map(str, find_passages(d, i, **limit).collect())) for limit in ({}, {"limit": 50}))
+    assert a == b
+
+
+def test_long_items_are_split_whole_windows_each():
+    from weft.llm.decontaminate import Windows, _pieces, scan
+
+    text = " ".join(f"w{i % 37}" for i in range(500)).encode()
+    parts = _pieces(text, 10, 60)
+    grams = lambda t: {tuple(words(t.decode())[k : k + 10]) for k in range(len(words(t.decode())) - 9)}
+    assert len(parts) > 20 and set().union(*map(grams, parts)) == grams(text)
+    assert all(len(words(p.decode())) >= 10 for p in parts)
+    assert scan([text], Windows([("a", p) for p in parts], 10))[0][1] == [(0, 500)]

@@ -60,3 +60,12 @@ def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 def plain(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further ones cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is none of ``taken``."""
+    low = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name.lower() in low:
+        name += "_"
+    return name
