@@ -1,4 +1,10 @@
-"""Breadth-first search: levels, trees, reachability, visit order."""
+"""Breadth-first search: levels, trees, reachability, visit order.
+
+A round takes one level: its vertices meet the edges, and what no level has
+yet is the next one. Levels are kept as tables of their own and never written
+again. A level of few vertices is broadcast, so that the edges, hubs included,
+stay where they are; a larger one is a shuffled join.
+"""
 
 from __future__ import annotations
 
@@ -8,16 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.model import Graph, dedup
-from weft.plans.lineage import cut
-from weft.plans.superstep import is_small, one_task
+from weft.plans.lineage import counted, cut
+from weft.plans.ordinal import counted_ordinal
+from weft.plans.superstep import is_small, one_task, sized, small
 
 SCHEMA = "id bigint, pred bigint, dist int"
+#: Levels whose ids are merged into one table.
+MERGED_LEVELS = 16
 
 
 def first_vertex(graph: Graph) -> int:
     return graph.vertices.agg(F.min("id")).first()[0]
 
 
+def _edges(graph: Graph) -> tuple[DataFrame, int]:
+    edges, seen = counted(dedup(graph.edges))
+    return edges, seen["rows"]
+
+
 def _local(root: int):
     def run(edges: pd.DataFrame) -> pd.DataFrame:
         e = edges.sort_values(["src", "dst"])
@@ -44,32 +58,60 @@ def _local(root: int):
     return run
 
 
+class _Levels:
+    """The vertices of all levels so far, as appended tables."""
+
+    def __init__(self, start: DataFrame):
+        self.tables, self.sizes = [start], [1]
+        self.seen, self.n_seen = [start.select("id")], 1
+
+    def front(self) -> DataFrame:
+        return small(self.tables[-1], self.sizes[-1])
+
+    def add(self, level: DataFrame) -> bool:
+        level, seen = counted(level)
+        n = seen["rows"]
+        if n:
+            self.tables.append(level)
+            self.sizes.append(n)
+            self.seen.append(level.select("id"))
+            self.n_seen += n
+            if len(self.seen) == MERGED_LEVELS:
+                self.seen = [cut(_union(self.seen))]
+        return bool(n)
+
+    def known(self, levels: int | None = None) -> DataFrame:
+        """Ids of the last levels, or of all."""
+        if levels is None:
+            return small(_union(self.seen), self.n_seen)
+        return small(_union([t.select("id") for t in self.tables[-levels:]]), sum(self.sizes[-levels:]))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def reach(graph: Graph, root: int, symmetric: bool = False, local_edges: int | None = None) -> DataFrame:
     """``id, pred, dist`` of the vertices reached along directed edges.
 
     ``pred`` is the smallest id among the predecessors one level before; the
     root is its own. ``symmetric`` graphs compare only the last two levels.
     """
-    edges = cut(dedup(graph.edges))
-    if is_small(edges, local_edges):
+    edges, n_edges = _edges(graph)
+    if is_small(n_edges, local_edges):
         return one_task(edges, _local(root), SCHEMA)
-    spark = edges.sparkSession
-    start = spark.createDataFrame([(root, root, 0)], SCHEMA)
-    levels = [start]
-    visited = start.select("id")
-    while True:
-        known = levels[-1].select("id").union(levels[-2].select("id")) if symmetric and len(levels) > 1 else visited
-        met = edges.join(levels[-1].select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("pred"))
-        new = cut(met.join(known, "id", "left_anti").select("id", "pred", F.lit(len(levels)).alias("dist")))
-        if new.isEmpty():
-            break
-        levels.append(new)
-        if not symmetric:
-            visited = cut(visited.union(new.select("id")))
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+    levels = _Levels(edges.sparkSession.createDataFrame([(root, root, 0)], SCHEMA))
+    more = True
+    with sized(edges.sparkSession, n_edges):
+        while more:
+            front = levels.front().select(F.col("id").alias("src"))
+            met = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("pred"))
+            new = met.join(levels.known(2 if symmetric else None), "id", "left_anti")
+            more = levels.add(new.select("id", "pred", F.lit(len(levels.tables)).alias("dist")))
+    return _union(levels.tables)
 
 
 def tree(graph: Graph, root: int | None = None, **how) -> DataFrame:
@@ -83,27 +125,22 @@ def visited(graph: Graph, root: int | None = None, **how) -> DataFrame:
     return graph.vertices.join(reach(graph, root, **how).select("id", F.lit(True).alias("v")), "id", "left").select("id", F.coalesce("v", F.lit(False)).alias("visited"))
 
 
-def _visit_order(root: int):
-    def run(edges: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        for s, d in edges.sort_values(["src", "dst"]).itertuples(index=False):
-            near.setdefault(s, []).append(d)
-        seen, queue, out = {root}, [root], []
-        for v in queue:
-            for w in near.get(v, ()):
-                if w not in seen:
-                    seen.add(w)
-                    queue.append(w)
-                    out.append((len(out), v, w))
-        return pd.DataFrame(out, columns=["pos", "parent", "child"], dtype=np.int64)
-
-    return run
-
-
 def visit_edges(graph: Graph, root: int | None = None) -> DataFrame:
     """``pos, parent, child``: tree edges in queue order, neighbours ascending.
 
-    The order is sequential by nature and runs in one task.
+    A vertex is found by the earliest vertex of the level before; a level
+    follows the order of those, then of its own ids.
     """
     root = first_vertex(graph) if root is None else root
-    return one_task(dedup(graph.edges), _visit_order(root), "pos bigint, parent bigint, child bigint")
+    edges, n_edges = _edges(graph)
+    levels = _Levels(edges.sparkSession.createDataFrame([(root, None, -1)], "id bigint, parent bigint, pos bigint"))
+    more, found = True, 0
+    with sized(edges.sparkSession, n_edges):
+        while more:
+            front = levels.front().select(F.col("id").alias("src"), "pos")
+            met = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("pos", "src")).alias("by"))
+            new = met.join(levels.known(), "id", "left_anti").select("id", F.col("by.src").alias("parent"), F.col("by.pos").alias("before"))
+            placed, n = counted_ordinal(new, "before", "id", name="place")
+            more = levels.add(placed.select("id", "parent", (F.lit(found) + F.col("place")).alias("pos")))
+            found += n
+    return _union(levels.tables).where("pos >= 0").select("pos", "parent", F.col("id").alias("child"))

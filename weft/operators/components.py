@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.plans.lineage import cut
-from weft.plans.superstep import is_small, one_task
+from weft.plans.lineage import counted, cut
+from weft.plans.superstep import is_small, one_task, sized
 
 
 def _local(edges: pd.DataFrame) -> pd.DataFrame:
@@ -25,29 +25,29 @@ def _local(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": list(parent), "component": [find(x) for x in parent]}, dtype="int64")
 
 
-def components(edges: DataFrame, max_rounds: int = 1000, local_edges: int | None = 0) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 1000, local_edges: int | None = None) -> DataFrame:
     """``(id, component)`` for every endpoint of the undirected ``(src, dst)``.
 
     ``component`` is the smallest id reachable. Each round takes the smallest
     label among a vertex and its neighbours, then the label of that label, so
     that chains halve; one reliable checkpoint and one count a round. Null
-    endpoints and self-loops add nothing but the vertex itself. By default all
-    runs are rounds; ``local_edges`` allows one task for so few edges (None: the
-    limit of the other graph operators).
+    endpoints and self-loops add nothing but the vertex itself. All runs are
+    rounds unless ``local_edges`` allows one task for so few edges.
     """
     e = edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s is not null and d is not null")
-    both = cut(e.where("s <> d").select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).distinct().union(e.where("s = d").distinct()))
-    if local_edges != 0 and is_small(both, local_edges):
+    both, seen = counted(e.where("s <> d").select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).distinct().union(e.where("s = d").distinct()))
+    if is_small(seen["rows"], local_edges):
         return one_task(both, _local, "id bigint, component bigint")
     both = both.union(both.select("d", "s")).toDF("s", "d")
-    labels = cut(both.groupBy(F.col("s").alias("id")).agg(F.least(F.min("d"), F.first("s")).alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(labels, both.d == labels.id).groupBy("s").agg(F.min("component").alias("near"))
-        lower = labels.join(near, labels.id == near.s).select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-        # The label of a label comes from the table of this round's start, which is a vertex too.
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-        step = cut(lower.join(jump, "low").select("id", "old", F.least("low", "far").alias("component")))
-        labels = step.select("id", "component")
-        if step.where("old <> component").isEmpty():
-            return labels
+    with sized(edges.sparkSession, 2 * seen["rows"]):
+        labels = cut(both.groupBy(F.col("s").alias("id")).agg(F.least(F.min("d"), F.first("s")).alias("component")))
+        for _ in range(max_rounds):
+            near = both.join(labels, both.d == labels.id).groupBy("s").agg(F.min("component").alias("near"))
+            lower = labels.join(near, labels.id == near.s).select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
+            # The label of a label comes from the table of this round's start, which is a vertex too.
+            jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
+            step, seen = counted(lower.join(jump, "low").select("id", "old", F.least("low", "far").alias("component")), moved=F.count_if(F.col("old") != F.col("component")))
+            labels = step.select("id", "component")
+            if not seen["moved"]:
+                return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

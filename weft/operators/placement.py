@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.scalars import id_string, numeric_id, part_of, range_end, range_start
-from weft.operators.model import Graph, adjacency, degrees
+from weft.operators.model import Graph, dedup, degrees
+from weft.plans.lineage import cut
 from weft.plans.ordinal import BUCKET, with_ordinal
 
 
@@ -64,9 +65,15 @@ def csr_offsets(graph: Graph, parts: int) -> DataFrame:
 
 
 def vertex_cut(graph: Graph, parts: int) -> DataFrame:
-    """``src, dst, pos, master, node`` of every edge."""
-    near = adjacency(graph).join(round_robin(graph, parts), "id")
-    each = near.select(F.col("id").alias("src"), F.col("node").alias("master"), F.posexplode("neighbours").alias("pos", "dst"))
+    """``src, dst, pos, master, node`` of every edge.
+
+    A neighbour's place is its ordinal among all edges less the vertex's
+    first one, so that a hub's neighbours are never one array or one task.
+    """
+    edges = cut(with_ordinal(dedup(graph.edges), "src", "dst"))
+    first = edges.groupBy("src").agg(F.min("k").alias("first"))
+    owners = round_robin(graph, parts).select(F.col("id").alias("src"), F.col("node").alias("master"))
+    each = edges.join(first.join(owners, "src"), "src").select("src", "dst", (F.col("k") - F.col("first")).cast("int").alias("pos"), "master")
     return each.select("src", "dst", "pos", "master", F.pmod(F.col("master") + F.col("pos"), F.lit(parts)).cast("int").alias("node"))
 
 
@@ -81,24 +88,23 @@ def shadows(graph: Graph, parts: int) -> DataFrame:
     return vertex_cut(graph, parts).where("node <> master").groupBy(F.col("src").alias("id"), "node").agg(F.count("*").alias("n_edges"))
 
 
-def co_owners(graph: Graph, parts: int) -> DataFrame:
-    """``id, master, nodes``: the sorted other nodes with a vertex's edges."""
-    away = vertex_cut(graph, parts).where("node <> master")
+def co_owners(graph: Graph, parts: int, return_self: bool = False) -> DataFrame:
+    """``id, master, nodes``: the sorted other nodes with a vertex's edges;
+    with ``return_self`` the master too, for every vertex."""
+    away = vertex_cut(graph, parts).where("node <> master").select("src", "master", "node")
+    if return_self:
+        away = away.unionByName(round_robin(graph, parts).select(F.col("id").alias("src"), F.col("node").alias("master"), "node"))
     return away.groupBy(F.col("src").alias("id"), "master").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
 
 
 def shadow_ids(graph: Graph, parts: int) -> DataFrame:
-    """``id, node, local``: shadows numbered after the most masters of a node.
-
-    Positions inside a node are taken as for ``with_ordinal``, by buckets.
-    """
+    """``id, node, local``: shadows numbered after the most masters of a node."""
     most = round_robin(graph, parts).groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
-    rows = shadows(graph, parts).withColumn("b", F.floor(F.col("id") / BUCKET))
-    counts = rows.groupBy("node", "b").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("node").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("node", "b").orderBy("id")) - 1
-    at = rows.withColumn("place", place).join(counts.select("node", "b", before.alias("base")), ["node", "b"])
-    return at.join(F.broadcast(most)).select("id", "node", (F.col("most") + F.col("base") + F.col("place")).cast("bigint").alias("local"))
+    rows = cut(with_ordinal(shadows(graph, parts).select("id", "node"), "node", "id"))
+    # One row a node.
+    first = rows.groupBy("node").agg(F.min("k").alias("first"))
+    at = rows.join(F.broadcast(first), "node").join(F.broadcast(most))
+    return at.select("id", "node", (F.col("most") + F.col("k") - F.col("first")).cast("bigint").alias("local"))
 
 
 def kinds(graph: Graph, parts: int) -> DataFrame:
@@ -136,6 +142,14 @@ def occupancy(graph: Graph, parts: int, divisor: int | None = None) -> DataFrame
     return used.join(F.broadcast(total)).select("node", share("n_vertices", "vertex_limit").alias("v_occup"), share("n_edges", "edge_limit").alias("e_occup"))
 
 
+def global_ids(graph: Graph, parts: int, locals_: DataFrame) -> DataFrame:
+    """``node, local, id`` of asked masters (``node, local``); an error where a
+    local id is out of its node's range."""
+    found = locals_.select(F.col("node").cast("int").alias("node"), F.col("local").cast("bigint").alias("local")).join(round_robin(graph, parts), ["node", "local"], "left")
+    bad = F.raise_error(F.format_string("no vertex (%d,%d)", "node", "local")).cast("bigint")
+    return found.select("node", "local", F.when(F.col("id").isNull(), bad).otherwise(F.col("id")).alias("id"))
+
+
 def placed_edges(graph: Graph, placement: DataFrame) -> DataFrame:
     """Edges as pairs of global ids, by two equi-joins."""
     of = lambda c: placement.select(F.col("id").alias(c), F.struct("node", "local").alias(f"{c}_at"))

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.model import Graph, dedup, reverse
-from weft.plans.lineage import cut
-from weft.plans.superstep import is_small, one_task
+from weft.plans.lineage import counted, cut
+from weft.plans.superstep import is_small, one_task, sized, small
 
 SCHEMA = "id bigint, scc bigint"
 
@@ -54,35 +54,50 @@ def _local(edges: pd.DataFrame) -> pd.DataFrame:
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest label that leads to each vertex, to the fixpoint."""
-    while True:
-        sent = edges.join(labels.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("got"))
-        step = cut(labels.join(sent, "id", "left").select("id", F.col("label").alias("old"), F.least("label", "got").alias("label")))
-        labels = step.select("id", "label")
-        if step.where("old <> label").isEmpty():
-            return labels
+    """Smallest label that leads to each vertex, to the fixpoint; only what
+    changed is sent on. Null labels are larger than any."""
+    new = {"new": F.count_if("new")}
+    state, seen = counted(labels.withColumn("new", F.col("label").isNotNull()), **new)
+    while seen["new"]:
+        sent = state.where("new").select(F.col("id").alias("src"), "label")
+        got = edges.join(small(sent, seen["new"]), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("got"))
+        lower = F.coalesce(F.col("label").isNull() | (F.col("got") < F.col("label")), F.lit(False)) & F.col("got").isNotNull()
+        state, seen = counted(state.join(got, "id", "left").select("id", F.when(lower, F.col("got")).otherwise(F.col("label")).alias("label"), lower.alias("new")), **new)
+    return state.select("id", "label")
 
 
 def labels(graph: Graph, local_edges: int | None = None) -> DataFrame:
-    """``id, scc``: the smallest id of each vertex's component."""
-    edges = cut(dedup(graph.edges.where("src <> dst")))
-    if is_small(edges, local_edges):
+    """``id, scc``: the smallest id of each vertex's component.
+
+    Vertices that nothing leads to, or that lead nowhere, are components of
+    their own and go first. Then the smallest ancestor of each vertex is its
+    colour, and what leads back to it within the colour is its component.
+    """
+    edges, seen = counted(dedup(graph.edges.where("src <> dst")))
+    if is_small(seen["rows"], local_edges):
         found = one_task(edges, _local, SCHEMA)
         return graph.vertices.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
-    rest, done = cut(graph.vertices), None
-    while not rest.isEmpty():
-        # Forward: the smallest ancestor. Backward from it within its colour.
-        ahead = _spread(cut(rest.select("id", F.col("id").alias("label"))), edges)
-        of = lambda c: ahead.select(F.col("id").alias(c), F.col("label").alias(f"{c}_l"))
-        own = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_l = dst_l").select("src", "dst"))
-        starts = ahead.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).otherwise(F.lit((1 << 63) - 1)).alias("label"))
-        behind = _spread(cut(starts), cut(reverse(own)))
-        got = cut(behind.join(ahead.withColumnRenamed("label", "colour"), "id").where("label = colour").select("id", F.col("label").alias("scc")))
-        done = got if done is None else done.union(got)
-        rest = cut(rest.join(got, "id", "left_anti"))
-        keep = rest.select("id")
-        edges = cut(edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-    return done if done is not None else graph.vertices.select("id", F.col("id").alias("scc"))
+    rest, done = cut(graph.vertices), []
+    with sized(edges.sparkSession, seen["rows"]):
+        while True:
+            inner, seen = counted(edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id"))
+            done.append(rest.join(inner, "id", "left_anti").select("id", F.col("id").alias("scc")))
+            if not seen["rows"]:
+                break
+            ahead = _spread(inner.select("id", F.col("id").alias("label")), edges)
+            of = lambda c: ahead.select(F.col("id").alias(c), F.col("label").alias(f"{c}_l"))  # noqa: B023, E731
+            own = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_l = dst_l").select("src", "dst"))
+            starts = ahead.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).alias("label"))
+            behind = _spread(starts, reverse(own))
+            done.append(behind.where("label is not null").select("id", F.col("label").alias("scc")))
+            rest = cut(behind.where("label is null").select("id"))
+            # Edges between colours join no component.
+            keep = lambda c: rest.withColumnRenamed("id", c)  # noqa: B023, E731
+            edges = cut(own.join(keep("src"), "src", "left_semi").join(keep("dst"), "dst", "left_semi"))
+    out = done[0]
+    for table in done[1:]:
+        out = out.unionByName(table)
+    return out
 
 
 def count(graph: Graph, local_edges: int | None = None) -> DataFrame:

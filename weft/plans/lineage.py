@@ -3,7 +3,8 @@
 Iterative operators cut their lineage with a reliable ``checkpoint()``: the
 files live in the folder the cluster names in ``spark.checkpoint.dir``, so a
 lost executor costs a re-read and never a result. A folder of our own is set
-only where that setting is absent, as in tests.
+only where that setting is absent and the master is local, as in tests; on a
+cluster an unset folder is an error.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 #: Folders that this driver has named, for ``clear_scratch``.
@@ -31,6 +33,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isEmpty():
         return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = Path(tempfile.mkdtemp(prefix="weft-checkpoint-")).as_uri()
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -59,6 +63,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def counted(df: DataFrame, **more: Column) -> tuple[DataFrame, dict]:
+    """``cut`` with the ``rows`` and further aggregates of the table, seen by
+    the job that writes it, so that a round needs no second one."""
+    checkpoint_dir(df.sparkSession)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in more.items()]).checkpoint()
+    return out, seen.get
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

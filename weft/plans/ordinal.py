@@ -1,40 +1,60 @@
 """Global positions and neighbours in an order, without one global sort.
 
-Rows are ordered inside buckets of the key, and only one row a bucket takes
-part in the window over all of them.
+Rows are range-partitioned, sorted and checkpointed; only one number for each
+partition is summed up, whatever the keys look like. Keys need not be dense.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys in a bucket: a bucket is one task's unit, the buckets are few.
+from weft.plans.lineage import cut
+
+#: Dense positions in a bucket of running sums.
 BUCKET = 1 << 16
 
 
-def _before() -> Column:
-    return F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def _laid_out(df: DataFrame, order: list) -> tuple[DataFrame, list[int]]:
+    """``df`` sorted over its partitions with ``_part`` and ``_place``, and the
+    rows of each partition."""
+    # The checkpoint fixes the partitions, which a repeated sampling of the ranges could move.
+    laid = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    placed = laid.withColumns({"_part": F.shiftright("_at", 33).cast("int"), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
+    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    return placed, [counts.get(i, 0) for i in range(max(counts, default=-1) + 1)]
+
+
+def _of_part(values: list, kind: str = "bigint") -> Column:
+    """The value that belongs to a row's partition."""
+    return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_part")) if values else F.lit(None).cast(kind)
+
 
+def counted_ordinal(df: DataFrame, *order: str | Column, name: str = "k") -> tuple[DataFrame, int]:
+    """``df`` with the 0-based place of each row in the order, and its rows."""
+    placed, sizes = _laid_out(df, list(order))
+    before = [0, *accumulate(sizes)]
+    return placed.withColumn(name, _of_part(before[:-1]) + F.col("_place")).drop("_part", "_place"), before[-1]
 
-def with_ordinal(df: DataFrame, key: str, name: str = "k", bucket: Column | None = None) -> DataFrame:
-    """``df`` with the 0-based place of each row in the order of ``key``.
 
-    ``bucket`` must not decrease with the key; by default it is the integer
-    key over ``BUCKET``. Ties are ordered arbitrarily.
-    """
-    bucket = F.floor(F.col(key) / BUCKET) if bucket is None else bucket
-    rows = df.withColumn("_bucket", bucket)
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    offsets = counts.select(F.col("_bucket").alias("_b"), _before().alias("_offset"))
-    local = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1)
-    return local.join(offsets, local["_bucket"].eqNullSafe(offsets["_b"])).withColumn(name, (F.col("_offset") + F.col("_place")).cast("bigint")).drop("_bucket", "_b", "_offset", "_place")
+def with_ordinal(df: DataFrame, *order: str | Column, name: str = "k") -> DataFrame:
+    """``df`` with the 0-based place of each row in the order; ties are
+    ordered arbitrarily."""
+    return counted_ordinal(df, *order, name=name)[0]
 
 
 def with_next(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """``df`` with ``value`` of the following row in the order of ``key``."""
-    rows = df.withColumn("_bucket", F.floor(F.col(key) / BUCKET))
-    first = rows.groupBy("_bucket").agg(F.min_by(value, key).alias("_first"))
-    following = first.select(F.col("_bucket").alias("_b"), F.lead("_first").over(Window.orderBy("_bucket")).alias("_far"))
-    near = rows.withColumn("_near", F.lead(value).over(Window.partitionBy("_bucket").orderBy(key)))
-    return near.join(following, near["_bucket"] == following["_b"]).withColumn(name, F.coalesce("_near", "_far")).drop("_bucket", "_b", "_near", "_far")
+    placed, sizes = _laid_out(df, [key])
+    first = {r["_part"]: r["v"] for r in placed.where("_place = 0").select("_part", F.col(value).alias("v")).collect()}
+    far: list = []
+    following = None
+    for i in reversed(range(len(sizes))):
+        far.append(following)
+        following = first[i] if sizes[i] else following
+    last = F.col("_place") == _of_part([n - 1 for n in sizes])
+    near = F.lead(value).over(Window.partitionBy("_part").orderBy("_place"))
+    kind = df.schema[value].dataType.simpleString()
+    return placed.withColumn(name, F.when(last, _of_part(far[::-1], kind)).otherwise(near)).drop("_part", "_place")

@@ -1,31 +1,65 @@
-"""Rounds over a state table, and one-task runs of small problems.
+"""Rounds over a state table: the frame of all iterative operators.
 
-A round costs a fixed time to plan and launch, so a problem whose counted size
-is under ``LOCAL_EDGES`` runs as one task of one stage; a larger one runs in
-rounds of joins and aggregations, each cut by a reliable checkpoint. Both ways
-give the same rows.
+A round is one plan of joins and aggregations, cut by a reliable checkpoint.
+The two exceptions are stated where they stand: walks that are sequential by
+nature run in one task behind a check of their size, and an operator's
+``local_edges`` lets a caller who knows that a graph is small skip the rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.plans.lineage import cut, ship
+from weft.plans.lineage import counted, cut, ship
 
-#: Most edges that one task takes (24 bytes each).
-LOCAL_EDGES = 2_000_000
+#: Most ids (eight bytes each) in one broadcast.
+BROADCAST_IDS = 1_000_000
+#: Most edges (24 bytes each) of a walk that only one task can take.
+SEQUENTIAL_EDGES = 20_000_000
 
 
-def is_small(edges: DataFrame, limit: int | None = None) -> bool:
-    return edges.count() <= (LOCAL_EDGES if limit is None else limit)
+#: Rows of a round up to which its fixed cost is what counts, and rows a task.
+QUICK_ROWS, TASK_ROWS = 5_000_000, 250_000
+
+
+@contextmanager
+def sized(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plan rounds over so many rows: a few tasks and no re-planning between
+    stages where the rows are few, else the session's own settings. Plans
+    differ, results do not."""
+    names = ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")
+    old = [spark.conf.get(n) for n in names]
+    if rows <= QUICK_ROWS:
+        spark.conf.set(names[0], "false")
+        spark.conf.set(names[1], str(max(1, min(int(old[1]), -(-rows // TASK_ROWS)))))
+    try:
+        yield
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+
+
+class TooLarge(ValueError):
+    """A sequential walk over more edges than one task may take."""
+
+
+def is_small(edges: int, local_edges: int | None) -> bool:
+    """Whether the caller allows one task for so many edges; by default never."""
+    return bool(local_edges) and edges <= local_edges
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast behind a check of the counted rows; else Spark's own choice."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
 
 
 def one_task(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``run`` over all rows of a table whose size has been checked."""
+    """``run`` over all rows of a table whose size is bounded or checked."""
     ship(df.sparkSession)
     names = df.columns
 
@@ -36,6 +70,14 @@ def one_task(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return df.repartition(1).mapInPandas(whole, schema)
 
 
+def sequential(edges: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``one_task`` for a walk with no parallel form; raises over its limit."""
+    edges, seen = counted(edges)
+    if (n := seen["rows"]) > SEQUENTIAL_EDGES:
+        raise TooLarge(f"{n} edges in a sequential walk, at most {SEQUENTIAL_EDGES}")
+    return one_task(edges, run, schema)
+
+
 def rounds(state: DataFrame, step: Callable[[DataFrame, int], DataFrame | None], most: int = 100_000) -> DataFrame:
     """Apply ``step`` until it returns None; each state is checkpointed."""
     for i in range(most):

@@ -84,7 +84,7 @@ def read_bfs_solution(spark: SparkSession, path: str, start: int = 0, end: int |
 def adjacency_lines(graph: Graph) -> DataFrame:
     """``pos, line``: vertex count, directed edge count, then one vertex a line."""
     lists = adjacency(graph)
-    body = with_ordinal(lists, "id", "pos").select((F.col("pos") + 2).alias("pos"), F.concat_ws(" ", F.array_prepend(F.col("neighbours"), F.col("id"))).alias("line"))
+    body = with_ordinal(lists, "id", name="pos").select((F.col("pos") + 2).alias("pos"), F.concat_ws(" ", F.array_prepend(F.col("neighbours"), F.col("id"))).alias("line"))
     head = lists.agg(F.count("*").alias("v"), F.coalesce(F.sum(F.size("neighbours")), F.lit(0)).alias("e"))
     head = head.select(F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("pos"), F.col("v").cast("string").alias("line")), F.struct(F.lit(1).cast("bigint").alias("pos"), F.col("e").cast("string").alias("line")))).alias("r")).select("r.*")
     return head.unionByName(body)
