@@ -83,3 +83,25 @@ def test_stored_sub_keys_follow_the_percent(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert result(spark.createDataFrame([], "doc_id long, text string")) == []
+
+
+def test_hot_classes_and_broadcast_limits_change_no_result(spark, monkeypatch):
+    """Copies over the hot count, too many hot classes, and no broadcast at all."""
+    docs = [(i, f"a text that very many pages hold copy {i % 2} of two") for i in range(60)]
+    docs += [(100 + i, t) for i, t in fixture(4)[:60]] + [(900 + i, "") for i in range(20)] + [(950, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute(docs, 3, 85)
+    monkeypatch.setattr(minhash, "HOT_COPIES", 4)
+    monkeypatch.setattr(minhash, "HOT_CLASSES", 1)
+    assert result(frame) == want
+    monkeypatch.setattr(minhash, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 0)
+    assert result(frame) == want
+
+
+def test_deduplicate_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d", 1, "x", 2), (2, "a b c d", 3, None, 4), (3, None, 5, "y", 6), (3, "z z z", 7, "q", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id int, _hash string, _row int")
+    got = minhash.deduplicate(frame, 3, 85)
+    assert got.schema == frame.schema and sorted(r.doc_id for r in got.collect()) == [1, 3]
+    assert minhash.deduplicate(frame.limit(0), 3, 85).count() == 0

@@ -8,7 +8,8 @@ sub-key in both collections: at the linking threshold s the chance to miss is
 at most ``2 * (1 - s**K) ** m``, and ``m`` is the least number that brings this
 to ``MISS`` (16 at 0.85, 23 at 0.8).
 
-Equal shingle sets become one representative first. Representatives that meet
+Equal shingle sets become one representative first. A table key is made only
+of sub-keys that several representatives have. Representatives that meet
 form groups, by way of one pivot for each table key. Groups are cut by hash
 into blocks of bounded size, and full shingle sets are compared in cells of at
 most two blocks by one product of 0/1 matrices: a cell sends out the classes it
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import map_rows, plain, utf8
+from weft.llm.arrow import fresh, map_rows, plain, utf8
 from weft.llm.words import SPACED, groups, hashed, shingles
 from weft.operators.components import components
 from weft.plans.lineage import stored
@@ -40,6 +41,8 @@ K, MISS = 4, 1.5e-5
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
 #: Most rows of three integers in one broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Copies that make a class hot, at least, and hot classes in one broadcast.
+HOT_COPIES, HOT_CLASSES = 128, 100_000
 
 
 def sub_key_count(percent: int) -> int:
@@ -200,9 +203,27 @@ def _small(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_ROWS else df
 
 
+def _checked(df: DataFrame) -> DataFrame:
+    return _small(df, df.count())
+
+
+def _shared(rows: DataFrame, side: str) -> DataFrame:
+    """``rep`` and the sub-keys of one collection that another one has too."""
+    keys = rows.select("rep", F.posexplode(side).alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("k"))
+    met = keys.groupBy("k").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("k")
+    return keys.join(met, "k", "left_semi").groupBy("rep").agg(F.collect_list("k").alias(f"s{side}"))
+
+
+def _members(reps: DataFrame) -> DataFrame:
+    """``rep, sa, sb``: representatives with a shared sub-key in either
+    collection. No other pair of sub-keys can be a table key of two of them."""
+    one = stored(_shared(reps, "a").join(reps.select("rep", "b"), "rep"), "minhash-shared")
+    return one.select("rep", "sa").join(_shared(one, "b"), "rep")
+
+
 def _table_groups(members: DataFrame) -> DataFrame:
     """``rep, g`` of the members that meet another in some table."""
-    pair = F.explode(F.flatten(F.transform("a", lambda p: F.transform("b", lambda q: F.xxhash64(p, q)))))
+    pair = F.explode(F.flatten(F.transform("sa", lambda p: F.transform("sb", lambda q: F.xxhash64(p, q)))))
     keys = members.select(pair.alias("key"), "rep")
     pivots = keys.groupBy("key").agg(F.min("rep").alias("src"), F.max("rep").alias("high")).where("src < high").select("key", "src")
     # A member meets at most m * m pivots: it is tied to the least of them, and that one to the others.
@@ -218,7 +239,7 @@ def _blocks() -> Column:
 
 def _first_cells(sets: DataFrame, large: DataFrame) -> DataFrame:
     """Small groups are one cell; each block of a large one meets block 0."""
-    wide = sets.join(F.broadcast(large.select("g", "blocks")), "g", "left")
+    wide = sets.join(_checked(large.select("g", "blocks")), "g", "left")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     numbers = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(block == 0, F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array(block.cast("int")))
     return wide.withColumn("number", F.explode(numbers)).select(F.xxhash64("g", "number").alias("cell"), F.col("rep").alias("label"), "s")
@@ -240,10 +261,10 @@ def _second_cells(sets: DataFrame) -> DataFrame:
     cells = cells.select(F.xxhash64("block1", "block2").alias("cell"), F.array_distinct(F.array("block1", "block2")).alias("two"))
     cells = stored(cells.select("cell", F.explode("two").alias("block")), "minhash-cells")
     owns = of.where("own is not null").select("g", "label", "own")
-    placed = sets.join(F.broadcast(owns), ["g", "label"], "left")
-    placed = placed.join(F.broadcast(pools.withColumnRenamed("g", "g2").withColumnRenamed("own", "own2")), (F.col("g") == F.col("g2")) & F.col("own").eqNullSafe(F.col("own2")))
+    placed = sets.join(_checked(owns), ["g", "label"], "left")
+    placed = placed.join(_checked(pools.withColumnRenamed("g", "g2").withColumnRenamed("own", "own2")), (F.col("g") == F.col("g2")) & F.col("own").eqNullSafe(F.col("own2")))
     placed = placed.withColumn("block", F.xxhash64("g", "own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))).select("block", "label", "s")
-    return placed.join(F.broadcast(cells), "block").select("cell", "label", "s")
+    return placed.join(_checked(cells), "block").select("cell", "label", "s")
 
 
 def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -256,17 +277,13 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     sig = stored(signatures(docs, n, sub_key_count(percent)), "minhash-signatures")
     full = sig.where("doc_id is not null and set_key is not null")
-    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    classes = full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("a").alias("a"), F.first("b").alias("b"))
     reps = stored(classes, "minhash-representatives")
-
-    # Sub-keys that only one representative has cannot meet anything.
-    keys = reps.select("rep", F.posexplode("a").alias("i", "v")).select("rep", F.xxhash64("i", "v").alias("k"))
-    shared = keys.groupBy("k").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("k")
-    members = stored(reps.join(keys.join(shared, "k", "left_semi").select("rep").distinct(), "rep", "left_semi").select("rep", "n", "a", "b"), "minhash-members")
+    members = stored(_members(reps), "minhash-members")
     grouped = stored(_table_groups(members), "minhash-groups")
     met = grouped.count()
     if not met:
-        return _result(sig, None)
+        return _result(sig, reps, None)
     sets = stored(_sets(docs.join(_small(grouped.withColumnRenamed("rep", "doc_id"), met), "doc_id"), n), "minhash-sets")
 
     sizes = sets.select("g", F.size("s").alias("n")).groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
@@ -275,12 +292,12 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     joins = _compare(_first_cells(sets, large), percent)
     labels = _labels(joins)
     if not large.isEmpty():
-        wide = sets.join(F.broadcast(large.select("g")), "g", "left_semi")
+        wide = sets.join(_checked(large.select("g")), "g", "left_semi")
         known = wide.join(labels, "rep", "left").select("rep", "g", F.coalesce("label", "rep").alias("label"), "s") if labels is not None else wide.withColumn("label", F.col("rep"))
         more = _compare(_second_cells(known), percent)
         if not more.isEmpty():
             labels = _labels(joins.unionByName(more))
-    return _result(sig, labels)
+    return _result(sig, reps, labels)
 
 
 def _labels(joins: DataFrame) -> DataFrame | None:
@@ -290,13 +307,34 @@ def _labels(joins: DataFrame) -> DataFrame | None:
     return components(joins).select(F.col("id").alias("rep"), F.col("component").alias("label"))
 
 
-def _result(sig: DataFrame, labels: DataFrame | None) -> DataFrame:
-    many = sig.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("set_key", "rep")
-    rows = sig.select("doc_id", "n_shingles", "set_key").join(many, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+def _named(sig: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` by the documents' shingle sets.
+
+    Classes are named first, one row each. Those of very many copies are
+    broadcast; their number is bounded, since the least count of copies is
+    doubled until they are few. All others are joined by a shuffle in which
+    no key has more rows than that count: documents that need no name, or have
+    it already, are spread by their id.
+    """
+    named = reps.select("set_key", "rep", "copies")
     if labels is not None:
-        rows = rows.join(labels, "rep", "left").select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
+        named = named.join(labels, "rep", "left").select("set_key", "rep", "copies", F.coalesce("label", "rep").alias("name"))
     else:
-        rows = rows.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"))
+        named = named.withColumn("name", F.col("rep"))
+    named = stored(named.where("copies > 1 or name <> rep").select("set_key", "copies", "name"), "minhash-names")
+    least = HOT_COPIES
+    while (hot := named.where(F.col("copies") >= least)).count() > HOT_CLASSES:
+        least *= 2
+    known = sig.select("doc_id", "n_shingles", "set_key").join(F.broadcast(hot.select("set_key", F.col("name").alias("hot"))), "set_key", "left")
+    spread = F.unhex(F.hex(F.xxhash64("doc_id", "n_shingles")))
+    known = known.withColumn("key", F.coalesce(F.when(F.col("hot").isNull() & F.col("doc_id").isNotNull(), F.col("set_key")), spread))
+    others = named.where(F.col("copies") < least).select(F.col("set_key").alias("key"), "name")
+    name = F.when(F.col("doc_id").isNotNull(), F.coalesce("hot", "name", "doc_id"))
+    return known.join(others, "key", "left").select("doc_id", "n_shingles", name.alias("component_id"))
+
+
+def _result(sig: DataFrame, reps: DataFrame, labels: DataFrame | None) -> DataFrame:
+    rows = _named(sig, reps, labels)
     # A repeated id may stand in several classes: they are one.
     bridges = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("src"), F.max("component_id").alias("dst"), F.collect_set("component_id").alias("all")).where("src < dst")
     bridges = stored(bridges.select("src", F.explode("all").alias("dst")), "minhash-bridges")
@@ -312,14 +350,16 @@ def deduplicate(docs: DataFrame, n: int, percent: int) -> DataFrame:
     without an id all stay.
     """
     found = stored(near_duplicates(docs, n, percent).where("doc_id is not null"), "minhash-result")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    twice = stored(found.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "minhash-repeated")
+    key, mark, row = (fresh(c, docs.columns) for c in ("id", "hash", "row"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    twice = stored(found.groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), "minhash-repeated")
     removed = found.where(~F.col("kept")).count()
-    at = F.col("doc_id") == F.col("_id")
+    at = F.col("doc_id") == F.col(key)
     left = docs.join(_small(gone, removed), at, "left_anti")
     if twice.isEmpty():
         return left
     once = left.join(twice, at, "left_anti")
     again = left.join(twice, at, "left_semi")
-    first = again.withColumn("_h", F.xxhash64("text")).groupBy(F.col("doc_id").alias("_d")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "_h").alias("_r"))
-    return once.unionByName(first.select(*[F.col(f"_r.`{c}`").alias(c) for c in docs.columns]))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = again.withColumn(mark, F.xxhash64("text")).groupBy(F.col("doc_id").alias(key)).agg(F.min_by(whole, mark).alias(row))
+    return once.unionByName(first.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns]))
