@@ -145,3 +145,36 @@ def test_columns(spark):
     joined = np.frombuffer(b"".join(b for _, b in blocks), "<i4") + 128
     assert [a for a, _ in blocks] == list(range(0, len(raw[3]), BLOCK * 100)) and joined.astype(np.uint8).tobytes() == raw[3]
     assert media_features(store_media(frame.limit(0))).count() == 0
+
+
+def test_sparse_seek_points_and_pcm_blocks(monkeypatch):
+    payloads = fixture()
+    dense = encode(payloads)
+    monkeypatch.setattr(flac, "SEEK_POINTS", 3)
+    monkeypatch.setattr(flac, "PASS_LANES", 4)
+    sparse = encode(payloads)
+    assert max(len(parse(s).points) for s in sparse) == 3 and any(len(a) > len(b) for a, b in zip(dense, sparse, strict=True))
+    assert [(x + 128).astype(np.uint8).tobytes() for x in decode(sparse)] == payloads
+    payload, stream = payloads[4], sparse[4]
+    for sample in (0, BLOCK * 2, len(payload) - 1):
+        a = sample // BLOCK * BLOCK
+        assert (seek(stream, sample) + 128).astype(np.uint8).tobytes() == payload[a : a + BLOCK]
+    for size in (100, BLOCK, 5 * BLOCK):
+        got = {}
+        for i, first, x in flac.blocks(sparse, size):
+            assert first == sum(map(len, got.get(i, []))) and 0 < len(x) <= size
+            got.setdefault(i, []).append((x + 128).astype(np.uint8).tobytes())
+        assert [b"".join(got[i]) for i in range(len(payloads))] == payloads
+
+
+def test_features_do_not_depend_on_the_blocks():
+    payload = fixture()[-1]
+    x = decode(encode([payload]))[0]
+    one = flac._Feature()
+    one.add(x)
+    many = flac._Feature()
+    for a in range(0, len(x), 97):
+        many.add(x[a : a + 97])
+    assert str(one) == str(many) and one.digest.digest() == many.digest.digest() == hashlib.sha256(payload).digest()
+    assert one.tail == many.tail == payload[-32:] and one.size == len(payload)
+    assert f"energy={int((x * x).sum())};steps={int(np.abs(np.diff(x)).sum())}" in str(one)

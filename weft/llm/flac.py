@@ -1,10 +1,12 @@
 """FLAC columns: lossless coding of mono PCM, many frames at a time.
 
-Every frame of a stream has a seek point, so the frames of many streams decode
-side by side: one lane a frame, one step a sample, Rice codes read from 64-bit
-windows and predictors run over the lanes. A stream whose seek table is not
-whole is walked frame by frame. Each frame's CRC-8 and CRC-16 and each
-stream's MD5 are verified; damage raises ``ValueError``.
+Frames have seek points (every frame, up to ``SEEK_POINTS``), so the frames of
+many streams decode side by side: one lane a seek point, one step a sample,
+Rice codes read from 64-bit windows and predictors run over the lanes. Frames
+between two points follow each other in a lane; a stream without a sound seek
+table is one lane. Samples come in PCM blocks with their sample offsets. Each
+frame's CRC-8 and CRC-16 and each stream's MD5 are verified; damage raises
+``ValueError``.
 
 The encoder writes fixed blocks of ``BLOCK`` 8-bit samples as constant,
 verbatim or fixed-predictor subframes with Rice residuals; the decoder also
@@ -20,6 +22,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +34,8 @@ from weft.llm.arrow import map_rows, plain, utf8
 BLOCK, RATE = 576, 8000
 #: Most samples in one pass of the encoder, and lanes in one of the decoder.
 PASS_SAMPLES, PASS_LANES = 4 << 20, 8192
+#: Most seek points of a stream, and samples in a PCM block.
+SEEK_POINTS, PCM_BLOCK = ((1 << 24) - 1) // 18, 64 * BLOCK
 #: The predictors' coefficients by order, newest sample first.
 FIXED = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]]
 
@@ -149,16 +155,17 @@ def _frames(samples: np.ndarray, numbers: list[int]) -> list[bytes]:
 
 
 def _stream(pcm: bytes, frames: list[bytes]) -> bytes:
-    """A stream of 8-bit mono blocks with a seek point for each frame."""
+    """A stream of 8-bit mono blocks with seek points."""
     sizes = [len(f) for f in frames]
     info = struct.pack(">HH", BLOCK, BLOCK) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big")
     info += (RATE << 44 | 0 << 41 | 7 << 36 | BLOCK * len(frames)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
     offset = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    points = np.zeros(len(frames), [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-    points["sample"], points["offset"], points["n"] = np.arange(len(frames)) * BLOCK, offset, BLOCK
-    # A metadata block has at most 2**24 - 1 bytes; longer tables are left out whole.
-    table = points.tobytes() if len(frames) * 18 < 1 << 24 else b""
-    return b"".join([b"fLaC", bytes([0 if table else 0x80]), len(info).to_bytes(3, "big"), info, *([b"\x83", len(table).to_bytes(3, "big"), table] if table else []), *frames])
+    # A metadata block has at most 2**24 - 1 bytes: very long streams have a point for every few frames.
+    at = np.arange(0, len(frames), -(-len(frames) // SEEK_POINTS))
+    points = np.zeros(len(at), [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+    points["sample"], points["offset"], points["n"] = at * BLOCK, offset[at], BLOCK
+    table = points.tobytes()
+    return b"".join([b"fLaC", b"\0", len(info).to_bytes(3, "big"), info, b"\x83", len(table).to_bytes(3, "big"), table, *frames])
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
@@ -384,49 +391,79 @@ def _decode_frames(buf: bytes, at: list[int], infos: list[Info]) -> tuple[list[n
     return out, [h[1] for h in heads], (stop + 2).tolist()
 
 
-def decode(streams: list[bytes]) -> list[np.ndarray]:
-    """The samples of each stream, verified against its checksums."""
-    infos = [parse(s) for s in streams]
-    out: list[list[np.ndarray]] = [[] for _ in streams]
-    jobs, walk = [], []
-    for i, (s, info) in enumerate(zip(streams, infos, strict=True)):
-        covered = sum(n for _, _, n in info.points)
-        if covered == info.total and info.total:
-            jobs += [(i, info.first + o) for _, o, _ in info.points]
-        elif info.total:
-            walk.append((i, info.first))
-    while jobs:
-        own = jobs[:PASS_LANES]
-        jobs = jobs[PASS_LANES:]
-        used = sorted({i for i, _ in own})
-        base, chunks, size = {}, [], 0
-        for i in used:
+def _lanes_of(info: Info) -> list[tuple[int, int, int]]:
+    """First sample, byte and samples of the runs between seek points; one run
+    where the points do not make sense."""
+    first = [p[0] for p in info.points]
+    if not first or first[0] or any(a >= b for a, b in zip(first, [*first[1:], info.total], strict=True)):
+        return [(0, info.first, info.total)] if info.total else []
+    return [(a, info.first + p[1], b - a) for a, b, p in zip(first, [*first[1:], info.total], info.points, strict=True)]
+
+
+def _runs(streams: list[bytes], infos: list[Info]) -> Iterator[tuple[int, np.ndarray]]:
+    """Samples of the streams in order, some runs of a stream at a time. Up to
+    ``PASS_LANES`` runs advance together, a frame a step."""
+    jobs = [(i, *lane) for i, info in enumerate(infos) for lane in _lanes_of(info)]
+    for start in range(0, len(jobs), PASS_LANES):
+        own = jobs[start : start + PASS_LANES]
+        base, size = {}, 0
+        for i in sorted({j[0] for j in own}):
             base[i] = size
-            chunks.append(streams[i])
             size += len(streams[i])
-        got, _, _ = _decode_frames(b"".join(chunks), [base[i] + a for i, a in own], [infos[i] for i, _ in own])
-        for (i, _), x in zip(own, got, strict=True):
-            out[i].append(x)
-    while walk:
-        chunks, base, size = [], [], 0
-        for i, _ in walk:
-            base.append(size)
-            chunks.append(streams[i])
-            size += len(streams[i])
-        got, _, ends = _decode_frames(b"".join(chunks), [b + a for b, (_, a) in zip(base, walk, strict=True)], [infos[i] for i, _ in walk])
-        again = []
-        for (i, _), x, e, b in zip(walk, got, ends, base, strict=True):
-            out[i].append(x)
-            if sum(map(len, out[i])) < infos[i].total:
-                again.append((i, e - b))
-        walk = again
-    whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-    for x, info in zip(whole, infos, strict=True):
+        buf = b"".join(streams[i] for i in base)
+        at = [base[j[0]] + j[2] for j in own]
+        left = [j[3] for j in own]
+        parts: list[list[np.ndarray]] = [[] for _ in own]
+        open_ = list(range(len(own)))
+        while open_:
+            got, _, ends = _decode_frames(buf, [at[k] for k in open_], [infos[own[k][0]] for k in open_])
+            for k, x, e in zip(open_, got, ends, strict=True):
+                parts[k].append(x)
+                left[k] -= len(x)
+                at[k] = e
+                if left[k] < 0 or not len(x):
+                    raise ValueError("a frame runs past its seek point")
+            open_ = [k for k in open_ if left[k]]
+        for i in base:
+            yield i, _joined(own, parts, i)
+
+
+def _joined(own: list[tuple[int, int, int, int]], parts: list[list[np.ndarray]], i: int) -> np.ndarray:
+    """The parts of a stream's runs; runs are in the order of the streams."""
+    a, b = bisect_left(own, i, key=lambda j: j[0]), bisect_right(own, i, key=lambda j: j[0])
+    return np.concatenate([x for run in parts[a:b] for x in run])
+
+
+def blocks(streams: list[bytes], block: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Stream, first sample and samples of PCM blocks, in order. A stream is
+    verified against its MD5 before its last block is given out."""
+    infos = [parse(s) for s in streams]
+    runs = _runs(streams, infos)
+    ahead = next(runs, None)
+    for i, info in enumerate(infos):
+        digest, seen, rest = hashlib.md5(), 0, np.zeros(0, np.int64)
         wide = (info.bits + 7) // 8
-        pcm = x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes()
-        if len(x) != info.total or (any(info.md5) and hashlib.md5(pcm).digest() != info.md5):
+        while ahead is not None and ahead[0] == i:
+            x = ahead[1]
+            digest.update(x.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :wide].tobytes())
+            rest = np.concatenate([rest, x]) if len(rest) else x
+            ahead = next(runs, None)
+            more = ahead is not None and ahead[0] == i
+            while len(rest) > block or more and len(rest) == block:
+                yield i, seen, rest[:block]
+                seen, rest = seen + block, rest[block:]
+        if seen + len(rest) != info.total or (any(info.md5) and digest.digest() != info.md5):
             raise ValueError("the samples do not match the stream's MD5")
-    return whole
+        if len(rest):
+            yield i, seen, rest
+
+
+def decode(streams: list[bytes]) -> list[np.ndarray]:
+    """The samples of each stream, verified against its checksums."""
+    out: list[list[np.ndarray]] = [[] for _ in streams]
+    for i, _, x in blocks(streams, 1 << 62):
+        out[i].append(x)
+    return [np.concatenate(x) if len(x) != 1 else x[0] for x in ([*own] or [np.zeros(0, np.int64)] for own in out)]
 
 
 def padded(raw: bytes) -> bytes:
@@ -449,29 +486,50 @@ def store_media(docs: DataFrame) -> DataFrame:
     return map_rows(docs, ["doc_id", "text"], make, f"doc_id {kind}, n_bytes bigint, media binary")
 
 
-def _feature(x: np.ndarray) -> str:
-    sign = np.signbit(x)
-    return f"peak={int(np.abs(x).max())};crossings={int((sign[1:] != sign[:-1]).sum())};energy={int((x * x).sum())};steps={int(np.abs(np.diff(x)).sum())}"
+class _Feature:
+    """What is told of a payload, gathered over its PCM blocks."""
+
+    def __init__(self):
+        self.digest, self.size, self.tail = hashlib.sha256(), 0, b""
+        self.peak = self.crossings = self.energy = self.steps = 0
+        self.last: int | None = None
+
+    def add(self, x: np.ndarray) -> None:
+        payload = (x + 128).astype(np.uint8).tobytes()
+        self.digest.update(payload)
+        self.size += len(payload)
+        self.tail = (self.tail + payload[-32:])[-32:]
+        y = x if self.last is None else np.concatenate([[self.last], x])
+        sign = y < 0
+        self.peak = max(self.peak, int(np.abs(x).max()))
+        self.crossings += int((sign[1:] != sign[:-1]).sum())
+        self.energy += int((x * x).sum())
+        self.steps += int(np.abs(np.diff(y)).sum())
+        self.last = int(x[-1])
+
+    def __str__(self) -> str:
+        return f"peak={self.peak};crossings={self.crossings};energy={self.energy};steps={self.steps}"
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """What the stored streams hold, decoded and verified."""
+    """What the stored streams hold: their PCM blocks, decoded and verified."""
 
     def make():
         def f(batch):
             names = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             streams = [bytes(m) for m in names["media"].to_pylist()]
-            samples = decode(streams)
-            payload = [(x + 128).astype(np.uint8).tobytes() for x in samples]
+            found = [_Feature() for _ in streams]
+            for i, _, x in blocks(streams, PCM_BLOCK):
+                found[i].add(x)
             return {
                 "doc_id": names["doc_id"],
                 "n_bytes": names["n_bytes"],
-                "payload_bytes": [len(p) for p in payload],
-                "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payload],
-                "tail_crc32": [zlib.crc32(p[-32:]) for p in payload],
+                "payload_bytes": [p.size for p in found],
+                "payload_sha256": [p.digest.hexdigest() for p in found],
+                "tail_crc32": [zlib.crc32(p.tail) for p in found],
                 "media_bytes": [len(s) for s in streams],
                 "media_sha256": [hashlib.sha256(s).hexdigest() for s in streams],
-                "feature": [_feature(x) for x in samples],
+                "feature": list(map(str, found)),
             }
 
         return f
@@ -480,18 +538,18 @@ def media_features(media: DataFrame) -> DataFrame:
     return map_rows(plain(media, "doc_id", "n_bytes", "media"), ["doc_id", "n_bytes", "media"], make, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
-def pcm_blocks(media: DataFrame, block: int = 64 * BLOCK) -> DataFrame:
+def pcm_blocks(media: DataFrame, block: int = PCM_BLOCK) -> DataFrame:
     """``doc_id, first_sample, pcm``: decoded samples in blocks, each with the
     sample offset to seek it by (little-endian 32-bit integers)."""
 
     def make():
         def f(batch):
+            ids = batch.column(0).to_pylist()
             rows = {"doc_id": [], "first_sample": [], "pcm": []}
-            for d, x in zip(batch.column(0).to_pylist(), decode([bytes(m) for m in batch.column(1).to_pylist()]), strict=True):
-                for a in range(0, len(x), block):
-                    rows["doc_id"].append(d)
-                    rows["first_sample"].append(a)
-                    rows["pcm"].append(x[a : a + block].astype("<i4").tobytes())
+            for i, a, x in blocks([bytes(m) for m in batch.column(1).to_pylist()], block):
+                rows["doc_id"].append(ids[i])
+                rows["first_sample"].append(a)
+                rows["pcm"].append(x.astype("<i4").tobytes())
             return rows
 
         return f
@@ -501,9 +559,15 @@ def pcm_blocks(media: DataFrame, block: int = 64 * BLOCK) -> DataFrame:
 
 
 def seek(stream: bytes, sample: int) -> np.ndarray:
-    """The samples of the frame that holds a sample, by the seek table alone."""
+    """The samples of the frame that holds a sample, from the nearest seek
+    point before it on."""
     info = parse(stream)
-    point = max((p for p in info.points if p[0] <= sample < p[0] + p[2]), default=None)
-    if point is None:
+    lane = max((p for p in _lanes_of(info) if p[0] <= sample < p[0] + p[2]), default=None)
+    if lane is None:
         raise ValueError(f"no seek point holds sample {sample}")
-    return _decode_frames(stream, [info.first + point[1]], [info])[0][0]
+    first, at, _ = lane
+    while True:
+        got, _, ends = _decode_frames(stream, [at], [info])
+        if sample < first + len(got[0]):
+            return got[0]
+        first, at = first + len(got[0]), ends[0]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, chat, decontaminate, flac, hilbert, langid, linededup, minhash, sstable, toxicity
+from weft.plans.lineage import stored
 from weft.plans.tables import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -46,7 +47,8 @@ def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flac.media_features(flac.store_media(table(spark, sf_dir, "documents")))
+    media = stored(flac.store_media(table(spark, sf_dir, "documents")), "flac-media")
+    return flac.media_features(media)
 
 
 def op9_minhash_tensored(spark: SparkSession, sf_dir: str) -> DataFrame:
