@@ -28,8 +28,8 @@ from weft.llm.arrow import map_rows, plain, texts
 
 #: Longest word, in bytes, whose minimum is found by scanning.
 SCAN_LIMIT = 256
-#: Longest cached piece, and pieces a worker keeps before it starts anew.
-CACHE_CHARS, CACHE_SIZE = 48, 400_000
+#: Longest cached piece, and pieces a worker keeps in each of two generations.
+CACHE_CHARS, CACHE_SIZE = 48, 200_000
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space spelled out.
 SPACE = "\t-\r \x85\xa0  -     　"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -113,6 +113,29 @@ class Vocabulary:
         return [p for p in parts if p >= 0]
 
 
+class Recent:
+    """A mapping of two generations: what is asked for again moves from the
+    old one to the new one, and a full new one becomes the old one."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def recall(self, key: str) -> bytes | None:
+        """The value of a key that is not in ``known``."""
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self.known) >= self.size:
+            self.old = dict(self.known)
+            self.known.clear()
+        self.known[key] = value
+
+
 class Pieces(dict):
     """Encoded pieces by text, as little-endian 32-bit ids.
 
@@ -124,15 +147,17 @@ class Pieces(dict):
     def __init__(self, encode: Callable[[str], bytes], lead: str = " "):
         super().__init__()
         self.encode, self.lead = encode, lead
+        self.recent = Recent(CACHE_SIZE)
+        self.recent.known = self
 
     def __missing__(self, piece: str) -> bytes | None:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             return None
-        found = self.encode(self.lead + piece)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_SIZE:
-                self.clear()
-            self[piece] = found
+        found = self.recent.recall(piece)
+        if found is None:
+            found = self.encode(self.lead + piece)
+            if len(piece) <= CACHE_CHARS:
+                self.recent.keep(piece, found)
         return found
 
 
@@ -173,7 +198,7 @@ class RankArrayEncoder(Encoder):
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.words: dict[str, bytes] = {}
+        self.words = Recent(CACHE_SIZE)
         self.pattern = regex.compile(PATTERN)
         super().__init__(vocabulary.special, self._piece)
 
@@ -181,14 +206,14 @@ class RankArrayEncoder(Encoder):
         return b"".join([self._word(w) for w in self.pattern.findall(piece)])
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        found = self.words.known.get(word)
+        if found is None:
+            found = self.words.recall(word)
         if found is None:
             packed = self.vocabulary.packed
             found = b"".join([packed[i] for i in self.vocabulary.merge_word(word.encode())])
             if len(word) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_SIZE:
-                    self.words.clear()
-                self.words[word] = found
+                self.words.keep(word, found)
         return found
 
     def decode(self, ids: bytes) -> bytes:
