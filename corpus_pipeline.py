@@ -2,7 +2,15 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, written as
 Parquet and read again as the next stage's ``docs``. All but the last return
-the columns of ``documents``.
+the columns of ``documents``, whatever further ones there are and whatever
+their names.
+
+Results for odd input: documents with null or empty texts, or texts without a
+letter, go at the first stage; a null source is one more host; rows of one id
+are one document to the near-duplicate stage, which keeps one of them, and
+rows without an id all stay; a text that loses all its lines stays as an empty
+one, like no other; equal documents are near-duplicates; benchmark items
+without text match nothing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bpe, decontaminate, langid, linededup, minhash
+from weft.llm.arrow import fresh
 from weft.plans.lineage import stored
 from weft.plans.tables import table
 
@@ -25,15 +34,16 @@ VOCABULARY = "byte_bpe_50k.json"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts without a letter, or that no language's machine accepts."""
     model = langid.train(docs, ~langid.held_out())
-    found = langid.identify(docs, model, docs.columns)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    lang, score = (fresh(c, docs.columns) for c in ("lang", "score"))
+    found = langid.identify(docs, model, docs.columns, lang, score)
+    kept = found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop each source's boilerplate lines; ``n_chars`` follows the text."""
     cleaned = linededup.deduplicate(docs)
-    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

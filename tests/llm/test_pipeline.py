@@ -10,7 +10,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from weft.llm import langid
+from weft.plans.lineage import stored
 
 WORDS = {"en": "the of and with from that this over which were", "de": "der und die mit von nicht eine auch wird sich", "fr": "le et la avec des pour dans une qui sur"}
 
@@ -84,3 +86,32 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     cleaned = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, path)
     assert cleaned.schema == docs.schema
     assert not [r for r in cleaned.collect() if r.source == "src0" and re.search("Share this page", r.text or "")]
+
+
+CLASHES = ["_lang", "_score", "lang_pred", "score", "_whole", "_host", "host", "_lines", "_id", "_hash", "_row", "row", "rep", "_where", "h", "k", "item_id"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_tables(spark, folder, empty):
+    """Clashing names, repeated rows, nulls, a very long text, no rows."""
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    long = "the of and with from that " * 40_000
+    more = [(900, long, "en", None, 3), (901, long + "end", "en", "src1", 3), (None, "the of and with no id", "en", None, None), (None, "the of and with no id", "en", None, None), (3, rows[3][1], "en", "src0", 1), (3, "the other text of and with this id", "en", "src0", 1)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    for i, c in enumerate(CLASHES):
+        docs = docs.withColumn(c, F.lit(i) if i % 2 else F.lit("x"))
+    docs = docs.limit(0) if empty else docs
+    left = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, left, path), f"test-{name}")
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        before, after = left.count(), out.count()
+        assert (after == 0) if empty else (0 < after <= before), name
+        left = out
+    last = corpus_pipeline.STAGES[-1][1](spark, left, path).collect()
+    assert len(last) == left.count()
+    if not empty:
+        ids = [r.doc_id for r in last]
+        assert ids.count(3) == 1 and ids.count(None) == 2 and (900 in ids) and 901 not in ids and 500 not in ids
+        assert {r["_id"] for r in left.collect()} == {"x"} and {r["lang_pred"] for r in left.collect()} == {"x"}

@@ -5,8 +5,8 @@ letter trigrams, hashed to ``DIMENSIONS``. One-versus-rest linear support
 vector machines choose the language family; within it, one-versus-one linear
 support vector machines separate the closely related languages by votes, ties
 by summed margins. The machines are fitted on the driver from a bounded
-sample (at most ``ROWS_PER_LANGUAGE`` distinct texts of each language, chosen
-by a hash of the text); every text is scored whole, on executors.
+sample (at most ``ROWS_PER_LANGUAGE`` distinct texts of each language and
+``TRAIN_ROWS`` in all, chosen by a hash of the text); every text is scored whole, on executors.
 
 Results for odd input: a null text, or one without a letter, is ``und`` with
 score 0; a language whose family is not listed is a family of its own; with
@@ -29,6 +29,8 @@ from weft.llm.words import groups, table
 
 #: Hashed trigram features, and training rows of each language.
 DIMENSIONS, ROWS_PER_LANGUAGE = 4096, 800
+#: Training rows of all languages together (16 KB each on the driver).
+TRAIN_ROWS = 8_000
 UNKNOWN = "und"
 #: ISO 639-1 codes by language family.
 FAMILIES = {
@@ -161,14 +163,15 @@ def fit(vectors: np.ndarray, labels: list[str], families: dict[str, str] = FAMIL
 def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Fit on at most ``rows_per_language`` distinct texts of each language.
 
-    The driver receives that many feature vectors of 16 KB for each language
-    and nothing that grows with the table but the list of languages.
+    The driver receives at most ``TRAIN_ROWS`` feature vectors of 16 KB and
+    nothing that grows with the table but the list of languages.
     """
     rows = docs.where(usable).select("text", "lang").where("text is not null and lang is not null")
     h = F.xxhash64("text")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(h, 0.02).alias("n")).collect()}
     if not counts:
         return fit(np.zeros((0, DIMENSIONS), np.float32), [])
+    rows_per_language = min(rows_per_language, max(1, TRAIN_ROWS // len(counts)))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, 1.3 * rows_per_language / max(1, n)) * 1_000_000))])
     picked = rows.withColumn("h", h).where(F.pmod("h", F.lit(1_000_000)) < share[F.col("lang")]).dropDuplicates(["h", "lang"])
     few = picked.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= rows_per_language)
@@ -189,22 +192,24 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
     return fit(vectors, names)
 
 
-def identify(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """``columns`` with ``lang_pred`` and ``score`` for every document."""
+def identify(docs: DataFrame, model: Model, columns: list[str], lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``columns`` with the predicted language and its score, in columns that
+    are named ``lang`` and ``score``, for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
     kinds = [(c, docs.schema[c].dataType.simpleString()) for c in columns]
+    sent = [*columns] if "text" in columns else [*columns, "text"]
+    at = sent.index("text")
 
     def make():
         own = Model(*shared.value)
 
         def f(batch):
-            names, scores = own.predict(texts(batch, "_whole"))
-            return {c: batch.column(i) for i, c in enumerate(columns)} | {"lang_pred": names, "score": scores}
+            names, scores = own.predict([x or "" for x in batch.column(at).to_pylist()])
+            return {c: batch.column(i) for i, c in enumerate(columns)} | {lang: names, score: scores}
 
         return f
 
-    wide = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_whole"))
-    return map_rows(wide, [*[f"`{c}`" for c in columns], "_whole"], make, ", ".join([*(f"`{c}` {k}" for c, k in kinds), "lang_pred string, score double"]))
+    return map_rows(docs, [F.col(f"`{c}`") for c in sent], make, ", ".join([*(f"`{c}` {k}" for c, k in kinds), f"`{lang}` string, `{score}` double"]))
 
 
 def held_out() -> Column:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import plain
+from weft.llm.arrow import fresh, plain
 from weft.plans.lineage import stored
 
 RATIO, LEAST = 0.1, 10
@@ -51,37 +51,40 @@ def flagged(docs: DataFrame, host: str = "source", text: str = "text", ratio: fl
     return over.groupBy("host").agg(F.collect_list("k").alias("lines"), F.count("*").alias("n"))
 
 
-def _marked(docs: DataFrame, host: str, text: str, ratio: float, least: int) -> DataFrame:
-    """``docs`` with ``_lines``, the keys of its host's flagged lines."""
+def _marked(docs: DataFrame, host: str, text: str, ratio: float, least: int) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, and its name: the keys of the flagged
+    lines of a row's host."""
     found = stored(flagged(docs, host, text, ratio, least), "boilerplate")
     size = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    side = found.select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
+    other, lines = fresh("host", docs.columns), fresh("lines", docs.columns)
+    side = found.select(F.col("host").alias(other), F.col("lines").alias(lines))
     if size <= BROADCAST_LINES:
         side = F.broadcast(side)
-    return docs.join(side, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
+    return docs.join(side, F.col(f"`{host}`").eqNullSafe(F.col(other)), "left"), lines
 
 
-def _kept(text: str) -> Column:
+def _kept(text: str, lines: str) -> Column:
     def stays(line: Column) -> Column:
-        return ~F.coalesce(F.array_contains(F.col("_lines"), _key(line)), F.lit(False))
+        return ~F.coalesce(F.array_contains(F.col(lines), _key(line)), F.lit(False))
 
-    return F.when(F.col("_lines").isNull(), F.split(f"`{text}`", "\n", -1)).otherwise(F.filter(F.split(f"`{text}`", "\n", -1), stays))
+    return F.when(F.col(lines).isNull(), F.split(f"`{text}`", "\n", -1)).otherwise(F.filter(F.split(f"`{text}`", "\n", -1), stays))
 
 
 def deduplicate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """The documents without their hosts' boilerplate lines, same columns."""
-    marked = _marked(docs, host, text, ratio, least)
-    new = F.when(F.col(f"`{text}`").isNotNull(), F.array_join(_kept(text), "\n")).alias(text)
+    marked, lines = _marked(docs, host, text, ratio, least)
+    new = F.when(F.col(f"`{text}`").isNotNull(), F.array_join(_kept(text, lines), "\n")).alias(text)
     return marked.select(*[new if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def report(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """``doc_id, host, n_lines, n_dropped, text`` of every document."""
-    marked = _marked(plain(docs, "doc_id", host, "text"), host, "text", ratio, least).withColumn("_kept", _kept("text"))
-    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint")
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(lines).cast("bigint")
+    marked, lines = _marked(plain(docs, "doc_id", host, "text"), host, "text", ratio, least)
+    marked = marked.withColumn("_kept", _kept("text", lines))
+    count = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("bigint")
+    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(count).cast("bigint")
     dropped = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)) - F.size("_kept")).cast("bigint")
-    return marked.select("doc_id", F.col(f"`{host}`").alias("host"), lines.alias("n_lines"), dropped.alias("n_dropped"), F.array_join("_kept", "\n").alias("text"))
+    return marked.select("doc_id", F.col(f"`{host}`").alias("host"), count.alias("n_lines"), dropped.alias("n_dropped"), F.array_join("_kept", "\n").alias("text"))
 
 
 #: The same in DuckDB, over whole lines.
