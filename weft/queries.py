@@ -12,6 +12,7 @@ from weft.functions.scalars import mex
 from weft.operators import bfs, colouring, components, model, mst, placement, scc, sssp, traversal, validate
 from weft.operators.model import Graph
 from weft.plans.lineage import cut, scratch
+from weft.plans.superstep import superstep
 from weft.sources import derive, generate, textgraph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,10 @@ SP = """sp_h AS (SELECT DISTINCT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS d FROM
 sp AS (SELECT s AS src, d AS dst FROM sp_h UNION ALL SELECT d, s FROM sp_h),
 spv AS (SELECT DISTINCT src AS id FROM sp),
 spk AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM spv)"""
+PP = """pp_h AS (
+  SELECT DISTINCT a.l_partkey AS s, b.l_partkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey < b.l_partkey),
+pp AS (SELECT s AS src, d AS dst FROM pp_h UNION ALL SELECT d, s FROM pp_h),
+ppv AS (SELECT DISTINCT src AS id FROM pp)"""
 UT = """ut AS (
   SELECT a AS src, b AS dst, CAST(min(1 + k % 10) AS DOUBLE) AS weight
   FROM (SELECT user_id AS a, lead(user_id) OVER (ORDER BY event_id) AS b, event_id AS k FROM events)
@@ -267,7 +272,10 @@ def partition_occupancy(spark, sf_dir):
 
 # --- algorithms ----------------------------------------------------------------
 
-LEVELS = "walk AS (SELECT min(id) AS v, 0 AS l FROM ccv UNION SELECT e.dst, w.l + 1 FROM walk w JOIN cc e ON e.src = w.v WHERE w.l < 40), levels AS (SELECT v AS id, CAST(min(l) AS INTEGER) AS dist FROM walk GROUP BY v)"
+LEVELS = """levels(id, dist) USING KEY (id) AS (
+  SELECT min(id), CAST(0 AS INTEGER) FROM ccv
+  UNION
+  SELECT DISTINCT e.dst, l.dist + 1 FROM levels l JOIN cc e ON e.src = l.id WHERE e.dst NOT IN (SELECT id FROM recurring.levels))"""
 TREE = "tree AS (SELECT l.id, CASE WHEN l.dist = 0 THEN l.id ELSE min(p.id) END AS pred, l.dist FROM levels l LEFT JOIN cc e ON e.dst = l.id LEFT JOIN levels p ON p.id = e.src AND p.dist = l.dist - 1 GROUP BY l.id, l.dist)"
 
 
@@ -355,19 +363,22 @@ def colouring_isolated(spark, sf_dir):
     return colouring.colour(Graph(people.union(g.vertices).distinct(), g.edges))
 
 
-@query("colouring_copurchase")
+@query("colouring_copurchase", _with(PP, _greedy("pp", "ppv"), recursive=True) + "SELECT colour, count(*) AS n_vertices FROM colours GROUP BY colour")
 def colouring_copurchase(spark, sf_dir):
     """Colour classes of the co-purchase graph; the bench query."""
     return colouring.colour(derive.co_purchase(spark, sf_dir)).groupBy("colour").agg(F.count("*").alias("n_vertices"))
 
 
-#: Weights are whole numbers up to 10, so a walk by distance visits each (vertex, distance) once.
-def _distances(edges: str, most: int = 400) -> str:
-    return f"walk AS (SELECT min(id) AS v, CAST(0 AS DOUBLE) AS c FROM utv UNION SELECT e.dst, w.c + e.weight FROM walk w JOIN {edges} e ON e.src = w.v WHERE w.c < {most}), far AS (SELECT v AS id, min(c) AS dist FROM walk GROUP BY v)"
+def _distances(edges: str) -> str:
+    return f"""far(id, dist) USING KEY (id) AS (
+  SELECT min(id), CAST(0 AS DOUBLE) FROM utv
+  UNION
+  SELECT e.dst, min(f.dist + e.weight) FROM far f JOIN {edges} e ON e.src = f.id LEFT JOIN recurring.far r ON r.id = e.dst
+  WHERE r.dist IS NULL OR f.dist + e.weight < r.dist GROUP BY e.dst)"""
 
 
-SSSP = _with(UT, _distances("ut", 120), recursive=True) + "SELECT id, dist FROM far"
-SSSP_UNDIRECTED = _with(UT, _distances("uu", 60), recursive=True) + "SELECT id, dist FROM far"
+SSSP = _with(UT, _distances("ut"), recursive=True) + "SELECT id, dist FROM far"
+SSSP_UNDIRECTED = _with(UT, _distances("uu"), recursive=True) + "SELECT id, dist FROM far"
 
 
 @query("sssp_dijkstra", SSSP_UNDIRECTED)
@@ -394,7 +405,20 @@ def sssp_delta(spark, sf_dir):
     return sssp.delta_stepping(g, bfs.first_vertex(g))
 
 
-@query("negative_cycle", "SELECT true AS with_back_edge, false AS without")
+def _passes(name: str, edges: str) -> str:
+    """Distances with the pass of their last change, in as many passes as vertices."""
+    return f"""{name}(id, dist, pass) USING KEY (id) AS (
+  SELECT min(id), CAST(0 AS DOUBLE), 0 FROM utv
+  UNION
+  SELECT e.dst, min(p.dist + e.weight), max(p.pass) + 1 FROM {name} p JOIN {edges} e ON e.src = p.id LEFT JOIN recurring.{name} r ON r.id = e.dst
+  WHERE p.pass < (SELECT count(*) FROM utv) AND (r.dist IS NULL OR p.dist + e.weight < r.dist) GROUP BY e.dst)"""
+
+
+BACK = "bad AS (SELECT src, dst, weight FROM ut UNION ALL SELECT dst, src, -weight - 1 FROM ut WHERE src = (SELECT min(id) FROM utv))"
+STILL = "(SELECT max(pass) FROM {}) >= (SELECT count(*) FROM utv)"
+
+
+@query("negative_cycle", _with(UT, BACK, _passes("with_it", "bad"), _passes("without_it", "ut"), recursive=True) + f"SELECT {STILL.format('with_it')} AS with_back_edge, {STILL.format('without_it')} AS without")
 def negative_cycle(spark, sf_dir):
     """The step graph has no negative weight; back edges a little lighter than
     the root's steps close negative cycles."""
@@ -423,7 +447,7 @@ COMPONENTS = "w AS (SELECT id, id AS c FROM ccv UNION SELECT e.dst, w.c FROM w J
 
 @query("components", _with(CC, COMPONENTS, recursive=True) + "SELECT id, min(c) AS component FROM w GROUP BY id")
 def components_(spark, sf_dir):
-    return components.components(cc(spark, sf_dir).edges, local_edges=None)
+    return components.components(cc(spark, sf_dir).edges)
 
 
 KRUSKAL = """he AS (SELECT src, dst, weight, row_number() OVER (ORDER BY weight, src, dst) AS rn FROM uu WHERE src < dst),
@@ -451,40 +475,102 @@ def mst_cost(spark, sf_dir):
 
 # --- validators ----------------------------------------------------------------
 
-VALID = "SELECT true AS valid"
+# Each validator judges a right result and one with a planted fault.
+
+
+def _judged(found: DataFrame, planted: DataFrame) -> DataFrame:
+    of = lambda df, name: df.select(F.lit(name).alias("input"), "valid")
+    return of(found, "found").unionByName(of(planted, "planted"))
 
 
-@query("validate_bfs", VALID)
+def _inputs(columns: str, table_: str, planted: str) -> str:
+    return f"inputs AS (SELECT 'found' AS input, {columns} FROM {table_} UNION ALL SELECT 'planted', {planted} FROM {table_})"
+
+
+PLAIN = """SELECT c.input, bool_and(c.dist >= 0 AND CASE WHEN c.pred = c.id THEN c.id = (SELECT min(id) FROM ccv) ELSE coalesce(p.dist = c.dist - 1, false) END) AS valid
+FROM inputs c LEFT JOIN inputs p ON p.input = c.input AND p.id = c.pred WHERE c.dist IS NOT NULL GROUP BY c.input"""
+LATE = "id, pred, dist + CASE WHEN id = (SELECT max(id) FROM tree) THEN 1 ELSE 0 END"
+
+
+@query("validate_bfs", _with(CC, LEVELS, TREE, _inputs("id, pred, dist", "tree", LATE), recursive=True) + PLAIN)
 def validate_bfs(spark, sf_dir):
+    """Planted: the last vertex is one level too deep."""
     g = Graph.of(cut(cc(spark, sf_dir).edges))
     root = bfs.first_vertex(g)
-    return validate.bfs(bfs.tree(g, root), root)
+    tree = cut(bfs.tree(g, root, symmetric=True))
+    last = tree.agg(F.max("id").alias("last"))
+    late = tree.join(F.broadcast(last)).select("id", "pred", (F.col("dist") + (F.col("id") == F.col("last")).cast("int")).alias("dist"))
+    return _judged(validate.bfs(tree, root), validate.bfs(late, root))
+
 
+FAR = "(SELECT max(struct_pack(d := dist, i := id)).i FROM tree)"
+LOST = f"id, CASE WHEN id <> {FAR} THEN pred END, CASE WHEN id <> {FAR} THEN dist END"
+STRICT = f"""plain AS ({PLAIN}),
+broken AS (
+  SELECT t.input FROM inputs t WHERE t.pred <> t.id AND NOT EXISTS (SELECT 1 FROM cc e WHERE e.src = t.pred AND e.dst = t.id)
+  UNION ALL SELECT a.input FROM cc e JOIN inputs a ON a.id = e.src JOIN inputs b ON b.id = e.dst AND b.input = a.input WHERE a.dist IS NOT NULL AND (b.dist IS NULL OR b.dist > a.dist + 1))
+SELECT input, valid AND input NOT IN (SELECT input FROM broken) AS valid FROM plain"""
 
-@query("validate_bfs_strict", VALID)
+
+@query("validate_bfs_strict", _with(CC, LEVELS, TREE, _inputs("id, pred, dist", "tree", LOST), STRICT, recursive=True).rstrip())
 def validate_bfs_strict(spark, sf_dir):
+    """Planted: the last vertex of the last level is left out, which only the
+    strict validator sees."""
     g = Graph.of(cut(cc(spark, sf_dir).edges))
     root = bfs.first_vertex(g)
-    return validate.bfs_strict(g, cut(bfs.tree(g, root)), root)
+    tree = cut(bfs.tree(g, root, symmetric=True))
+    far = tree.where("dist is not null").agg(F.max(F.struct("dist", "id")).alias("m")).select(F.col("m.id").alias("far"))
+    stays = F.col("id") != F.col("far")
+    lost = cut(tree.join(F.broadcast(far)).select("id", F.when(stays, F.col("pred")).alias("pred"), F.when(stays, F.col("dist")).alias("dist")))
+    return _judged(validate.bfs_strict(g, tree, root), validate.bfs_strict(g, lost, root))
+
+
+SAME = "id, CASE WHEN id = (SELECT max(id) FROM spv) THEN (SELECT c.colour FROM colours c WHERE c.id = (SELECT min(dst) FROM sp WHERE src = (SELECT max(id) FROM spv))) ELSE colour END"
 
 
-@query("validate_colouring", VALID)
+@query("validate_colouring", _with(SP, _greedy("sp", "spv"), _inputs("id, colour", "colours", SAME), recursive=True) + "SELECT a.input, bool_and(a.colour <> b.colour) AS valid FROM sp e JOIN inputs a ON a.id = e.src JOIN inputs b ON b.id = e.dst AND b.input = a.input GROUP BY a.input")
 def validate_colouring(spark, sf_dir):
+    """Planted: the last vertex has the colour of its first neighbour."""
     g = Graph.of(cut(derive.supplier_part(spark, sf_dir).edges))
-    return validate.colouring(g, cut(colouring.colour(g)))
+    colours = cut(colouring.colour(g))
+    last = g.edges.agg(F.max(F.struct("src", (-F.col("dst")).alias("first"))).alias("m")).select(F.col("m.src").alias("last"), (-F.col("m.first")).alias("first"))
+    other = colours.join(F.broadcast(last), F.col("id") == F.col("first")).select("last", F.col("colour").alias("same"))
+    bad = colours.join(F.broadcast(other)).select("id", F.when(F.col("id") == F.col("last"), F.col("same")).otherwise(F.col("colour")).alias("colour"))
+    return _judged(validate.colouring(g, colours), validate.colouring(g, bad))
 
 
-@query("validate_partitioning", VALID)
+MOVED = "id, CASE WHEN id = (SELECT max(id) FROM rr) THEN 0 ELSE node END, CASE WHEN id = (SELECT max(id) FROM rr) THEN 0 ELSE local END"
+BACK_AGAIN = """back AS (
+  SELECT DISTINCT a.input, c.id AS src, d.id AS dst
+  FROM cc e JOIN inputs a ON a.id = e.src JOIN inputs b ON b.id = e.dst AND b.input = a.input
+  JOIN inputs c ON c.input = a.input AND c.node = a.node AND c.local = a.local
+  JOIN inputs d ON d.input = a.input AND d.node = b.node AND d.local = b.local)"""
+
+
+@query("validate_partitioning", _with(CC, RR, _inputs("id, node, local", "rr", MOVED), BACK_AGAIN) + "SELECT i.input, NOT EXISTS (SELECT src, dst FROM back WHERE back.input = i.input EXCEPT SELECT src, dst FROM cc) AND NOT EXISTS (SELECT src, dst FROM cc EXCEPT SELECT src, dst FROM back WHERE back.input = i.input) AS valid FROM (SELECT DISTINCT input FROM inputs) i")
 def validate_partitioning(spark, sf_dir):
+    """Planted: the last vertex is placed where the first one is."""
     g = Graph.of(cut(cc(spark, sf_dir).edges))
-    return validate.partitioning(g, cut(placement.round_robin(g, P)))
+    placed = cut(placement.round_robin(g, P))
+    last = placed.agg(F.max("id").alias("last"))
+    at = lambda c: F.when(F.col("id") == F.col("last"), F.lit(0)).otherwise(F.col(c)).cast(placed.schema[c].dataType).alias(c)
+    moved = cut(placed.join(F.broadcast(last)).select("id", at("node"), at("local")))
+    return _judged(validate.partitioning(g, placed), validate.partitioning(g, moved))
+
 
+SHORT = """inputs AS (SELECT 'found' AS input, src, dst, weight FROM mst UNION ALL SELECT 'planted', src, dst, weight FROM mst WHERE (weight, src, dst) <> (SELECT (weight, src, dst) FROM mst ORDER BY weight DESC, src DESC, dst DESC LIMIT 1)),
+ends AS (SELECT input, src AS id FROM inputs UNION SELECT input, dst FROM inputs)"""
 
-@query("validate_mst", VALID)
+
+@query("validate_mst", _with(UT, KRUSKAL, SHORT, recursive=True) + "SELECT i.input, sum(i.weight) = (SELECT sum(weight) FROM mst) AND bool_and(EXISTS (SELECT 1 FROM uu WHERE uu.src = i.src AND uu.dst = i.dst)) AND (SELECT count(*) FROM ends WHERE ends.input = i.input) = (SELECT count(*) FROM utv) AS valid FROM inputs i GROUP BY i.input")
 def validate_mst(spark, sf_dir):
+    """Planted: the heaviest edge is left out."""
     g = Graph.of(cut(friends(spark, sf_dir).edges))
     tree = cut(mst.forest(g))
-    return validate.spanning_tree(g, tree, mst.cost(tree).first().cost)
+    total = mst.cost(tree).first().cost
+    heavy = tree.agg(F.max(F.struct("weight", "src", "dst")).alias("h"))
+    short = cut(tree.join(F.broadcast(heavy)).where(F.struct("weight", "src", "dst") != F.col("h")).select("src", "dst", "weight"))
+    return _judged(validate.spanning_tree(g, tree, total), validate.spanning_tree(g, short, total))
 
 
 # --- sources and sinks ---------------------------------------------------------
@@ -566,16 +652,81 @@ def gen_ladder(spark, sf_dir):
     return generate.ladder(spark, 20)
 
 
-@query("gen_random")
+def _draw(*parts: str) -> str:
+    """The generators' 40-bit draw for some numbers."""
+    return "CAST('0x' || substr(md5(" + " || '/' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 10) AS BIGINT)"
+
+
+N, E = 2_000, 10
+DRAWN = f"""d AS (SELECT s, j, s + 1 + {_draw("876", "s", "j")} % ({N - 1} - s) AS t FROM (SELECT unnest(range(0, {N - 1})) AS s) CROSS JOIN (SELECT unnest(range(0, {3 * E // 2})) AS j)),
+r AS (
+  -- How many draws each vertex takes, from vertex 0 on: 1.5 for each edge that lower ones have not drawn to it.
+  SELECT CAST(0 AS BIGINT) AS v, list_transform(range(0, {N}), lambda x: CAST([] AS BIGINT[])) AS back, CAST([] AS BIGINT[]) AS takes
+  UNION ALL
+  SELECT v + 1,
+         CASE WHEN n = 0 THEN back ELSE list_transform(back, lambda b, i: CASE WHEN list_contains(ts[:n], i - 1) THEN list_append(b, v) ELSE b END) END,
+         list_append(takes, n)
+  FROM (SELECT r.v, r.back, r.takes, o.ts, greatest(0, ({E} - len(r.back[r.v + 1])) * 3 // 2) AS n FROM r JOIN (SELECT s, list(t ORDER BY j) AS ts FROM d GROUP BY s) o ON o.s = r.v)),
+h AS (SELECT DISTINCT s, t AS d FROM d WHERE j < (SELECT takes FROM r ORDER BY v DESC LIMIT 1)[s + 1])"""
+
+
+@query("gen_random", _with(DRAWN, recursive=True) + BOTH)
 def gen_random(spark, sf_dir):
-    return generate.random(spark, 10_000, 10, seed=876)
+    return generate.random(spark, N, E, seed=876)
+
+
+def _descent(levels: int, edges: int) -> str:
+    bit = lambda who: " + ".join(f"{1 << (levels - 1 - i)} * CAST({who.replace('u', f'u{i}')} AS BIGINT)" for i in range(levels))
+    draws = ", ".join(f"{_draw('876', 'id', str(i))} % 100 AS u{i}" for i in range(levels))
+    return f"q AS (SELECT id, {draws} FROM (SELECT unnest(range(0, {edges})) AS id)), e AS (SELECT {bit('(u >= 76)')} AS a, {bit('((u >= 57 AND u < 76) OR u >= 95)')} AS b FROM q), h AS (SELECT DISTINCT a AS s, b AS d FROM e WHERE a <> b)"
 
 
-@query("gen_powerlaw")
+@query("gen_powerlaw", _with(_descent(13, 80_000)) + BOTH)
 def gen_powerlaw(spark, sf_dir):
     return generate.power_law(spark, 13, 80_000, seed=876)
 
 
+@query("gen_gnp", f"WITH h AS (SELECT a AS s, b AS d FROM (SELECT unnest(range(0, 60)) AS a) CROSS JOIN (SELECT unnest(range(0, 60)) AS b) WHERE a <> b AND {_draw('876', 'a', 'b')} % 1000000 < 250000) SELECT s AS src, d AS dst FROM h")
+def gen_gnp(spark, sf_dir):
+    return generate.gnp(spark, 60, 0.25, seed=876, directed=True)
+
+
+@query("superstep_min", _with(CC) + "SELECT v.id, least(v.id, coalesce(min(e.src), v.id)) AS value, count(e.src) AS n_messages FROM ccv v LEFT JOIN cc e ON e.dst = v.id GROUP BY v.id")
+def superstep_min(spark, sf_dir):
+    """One step of the vertex program that spreads the smallest id."""
+    g = cc(spark, sf_dir)
+    state = g.vertices.select("id", F.col("id").alias("value"))
+    return superstep(state, g.edges, {"got": F.col("value")}, {"low": F.min("got"), "n": F.count("*")}, {"value": F.least("value", F.coalesce("low", "value")), "n_messages": F.coalesce("n", F.lit(0))})
+
+
+@query("load_graph", _with(CC) + "SELECT src, dst FROM cc")
+def load_graph(spark, sf_dir):
+    return textgraph.load_graph(spark, _written(spark, sf_dir)[1] + ".elt", 4).edges
+
+
+@query("solution_slice", "SELECT CAST(i AS INTEGER) AS i, value FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_custkey % 7 AS value FROM customer) WHERE i >= 10 AND i < 60")
+def solution_slice(spark, sf_dir):
+    """A range of a colouring solution's line."""
+    from weft.plans.tables import table
+
+    path = scratch(spark, "solution")
+    line = table(spark, sf_dir, "customer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey"))), lambda c: (c["c_custkey"] % 7).cast("string")), " ").alias("value"))
+    line.write.text(path)
+    return textgraph.read_solution(spark, path, 10, 60)
+
+
+@query("global_ids", _with(CC, RR) + "SELECT node, local, id FROM rr WHERE local < 5")
+def global_ids(spark, sf_dir):
+    asked = spark.range(P * 5).select((F.col("id") % P).alias("node"), F.floor(F.col("id") / P).alias("local"))
+    return placement.global_ids(cc(spark, sf_dir), P, asked)
+
+
+@query("rr2d_owners", _with(SP, CUT) + "SELECT id, master, string_agg(CAST(node AS VARCHAR), ',' ORDER BY node) AS nodes FROM (SELECT DISTINCT src AS id, master, node FROM vc UNION SELECT id, CAST(node AS INTEGER), CAST(node AS INTEGER) FROM spr) GROUP BY id, master")
+def rr2d_owners(spark, sf_dir):
+    found = placement.co_owners(derive.supplier_part(spark, sf_dir), P, return_self=True)
+    return found.withColumn("nodes", F.array_join(F.col("nodes").cast("array<string>"), ","))
+
+
 LOG = """lines AS (
   SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '' ELSE CAST(user_id % 4 AS VARCHAR) || ': ' END AS node_part,
          ['TL', 'TG', 'MF', 'XX'][event_id % 4 + 1] AS t, event_type FROM events),
@@ -602,3 +753,10 @@ def log_split(spark, sf_dir):
 @query("log_probes", _with(LOG) + "SELECT node, CASE t WHEN 'TL' THEN 'Local times' WHEN 'TG' THEN 'Global times' WHEN 'MF' THEN 'Memory utilization' ELSE 'Miscellanous' END AS heading, event_type AS name, v AS value, CASE WHEN t IN ('TL', 'TG') THEN CAST(event_id * 1000003 AS DOUBLE) / 1e9 WHEN t = 'MF' THEN CAST(event_id * 3 + 7 AS DOUBLE) / (event_id + 1) END AS number FROM log")
 def log_probes(spark, sf_dir):
     return logs.probes(derive.probe_lines(spark, sf_dir).select("value")).drop("measurement")
+
+
+@query("log_report", _with(LOG) + """, p AS (SELECT node, CASE t WHEN 'TL' THEN 'Local times' WHEN 'TG' THEN 'Global times' WHEN 'MF' THEN 'Memory utilization' ELSE 'Miscellanous' END AS heading, t, event_id FROM log)
+SELECT heading, node, count(*) AS n_probes, sum(CASE WHEN t IN ('TL', 'TG') THEN CAST(event_id AS HUGEINT) * 1000003 END)::DOUBLE AS total_ns FROM p GROUP BY heading, node""")
+def log_report(spark, sf_dir):
+    """Probes by heading and node."""
+    return logs.report(derive.probe_lines(spark, sf_dir).select("value"))

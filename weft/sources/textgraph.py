@@ -56,20 +56,32 @@ def read_edges(spark: SparkSession, path: str, separator: str) -> DataFrame:
 
 
 def load_graph(spark: SparkSession, path: str, parts: int) -> Graph:
-    """A tab separated edge list, partitioned by source and persisted."""
+    """A tab separated edge list, partitioned by source and persisted until
+    ``release_graph``."""
     from pyspark import StorageLevel
 
     edges = read_edges(spark, path, "\t").repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
     return Graph.of(edges)
 
 
+def release_graph(graph: Graph) -> None:
+    """Give back what ``load_graph`` keeps."""
+    graph.edges.unpersist()
+
+
 def read_vertices(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LINES).text(path).select(F.explode(numbers()).alias("id"))
 
 
-def read_solution(spark: SparkSession, path: str) -> DataFrame:
-    """``i, value`` of a solution's first line."""
-    return numbered_lines(spark, path).where("pos = 0").select(F.posexplode(numbers()).alias("i", "value"))
+def read_solution(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """``i, value`` of a range of a solution's first line; an error where the
+    line is shorter than the range."""
+    line = numbered_lines(spark, path).where("pos = 0").select(numbers().alias("v"))
+    if end is not None:
+        short = F.raise_error(F.format_string("a solution of %d values has no value %d", F.size("v"), F.lit(end - 1))).cast("array<bigint>")
+        line = line.select(F.when(F.size("v") < end, short).otherwise(F.col("v")).alias("v"))
+    values = line.select(F.posexplode("v").alias("i", "value")).where(F.col("i") >= start)
+    return values if end is None else values.where(F.col("i") < end)
 
 
 def read_bfs_solution(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
