@@ -24,7 +24,8 @@ SEQUENTIAL_EDGES = 20_000_000
 
 
 #: Rows of a round up to which its fixed cost is what counts, and rows a task.
-QUICK_ROWS, TASK_ROWS = 5_000_000, 250_000
+#: A table of so few rows is also broadcast, so that no hub is a task's key.
+QUICK_ROWS, TASK_ROWS = BROADCAST_IDS, 250_000
 
 
 @contextmanager
