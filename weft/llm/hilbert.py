@@ -1,7 +1,8 @@
 """Shards along a Hilbert curve through document metadata.
 
 Each dimension is quantised to ``BITS`` bits: numbers by quantiles, names by
-their place among the most frequent names (others by a hash). The curve index
+the quantiles of their rows in alphabetical order among the most frequent names
+(others by a hash). The curve index
 orders the rows and runs of it are cut into shards whose row counts differ by
 at most one, so that a shard's files span a narrow range of every dimension.
 
@@ -17,13 +18,16 @@ empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.arrow import prepare
-from weft.plans.lineage import cut, stored
+from weft.llm.arrow import fresh, prepare
+from weft.plans.lineage import stored
+from weft.plans.ordinal import counted_ordinal
 
 BITS, OVERHEAD = 6, 16
 
@@ -72,19 +76,23 @@ def _number(df: DataFrame, name: str, bits: int) -> Column:
 
 
 def _name(df: DataFrame, name: str, bits: int) -> Column:
-    """Alphabetical place among the most frequent names, else a hash."""
+    """Quantile bucket of a name among the most frequent names in alphabetical
+    order, weighted by their rows, so that the names fill the dimension
+    however few they are; other names by a hash."""
     cells = (1 << bits) - 1
     top = df.where(F.col(f"`{name}`").isNotNull()).groupBy(F.col(f"`{name}`").alias("v")).count().orderBy(F.desc("count"), "v").limit(cells).collect()
-    known = sorted(r.v for r in top)
+    known = sorted((r["v"], r["count"]) for r in top)
+    total = sum(n for _, n in known)
+    before = [0, *accumulate(n for _, n in known)]
     other = F.when(F.col(f"`{name}`").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(f"`{name}`"), F.lit(cells)).cast("int"))
     if not known:
         return other
-    places = F.create_map(*[F.lit(x) for i, v in enumerate(known) for x in (v, 1 + i)])
+    places = F.create_map(*[F.lit(x) for i, (v, _) in enumerate(known) for x in (v, 1 + before[i] * cells // total)])
     return F.coalesce(F.try_element_at(places, F.col(f"`{name}`")), other)
 
 
-def curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
-    """``df`` with its curve index ``h`` over the named columns."""
+def curve(df: DataFrame, dimensions: list[str], bits: int = BITS, name: str = "h") -> DataFrame:
+    """``df`` with its curve index over the named columns."""
     prepare(df.sparkSession)
     kinds = dict(df.dtypes)
     cells = [(_name if kinds[d] == "string" else _number)(df, d, bits).cast("int") for d in dimensions]
@@ -93,23 +101,7 @@ def curve(df: DataFrame, dimensions: list[str], bits: int = BITS) -> DataFrame:
     def index(*columns: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], 1), bits))
 
-    return df.withColumn("h", index(*cells))
-
-
-def ranked(df: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
-    """``df`` with its 0-based global ``rank`` in ``order``, and its rows.
-
-    Driver and window see one number for each partition.
-    """
-    laid = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = laid.withColumn("_at", F.monotonically_increasing_id())
-    part = F.shiftright("_at", 33)
-    counts = cut(placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_before")
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    rows = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return rows.withColumn("rank", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before"), int(total)
+    return df.withColumn(name, index(*cells))
 
 
 def assign(docs: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
@@ -123,7 +115,7 @@ def assign(docs: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
     narrow = stored(narrow, "hilbert-rows")
     marked = stored(curve(narrow, dimensions).select("doc_id", "size", "text_crc32", "h"), "hilbert-curve")
     order = [F.col("h").asc(), F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc(), F.monotonically_increasing_id()]
-    rows, total = ranked(marked, order)
+    rows, total = counted_ordinal(marked, *order, name="rank")
     shard = F.expr(f"cast((rank * {shards}) div {max(1, total)} as int)")
     first = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
     return rows.withColumn("shard", shard).withColumn("slot", F.col("rank") - first)
@@ -136,7 +128,11 @@ def report(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def write_clustered(docs: DataFrame, path: str, dimensions: list[str], files: int) -> None:
-    """Write all columns as Parquet files along the curve, for pruning."""
-    with_size = docs.withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint") + OVERHEAD) if "size" in dimensions and "size" not in docs.columns else docs
-    laid = curve(with_size, dimensions).repartitionByRange(files, "h").sortWithinPartitions("h")
+    """Write all columns as Parquet files along the curve, for pruning. Rows
+    of one cell of the curve may be cut into several files."""
+    h, spread = (fresh(c, docs.columns) for c in ("h", "spread"))
+    added = "size" in dimensions and "size" not in docs.columns
+    with_size = docs.withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint") + OVERHEAD) if added else docs
+    laid = curve(with_size, dimensions, name=h).withColumn(spread, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() != "map"]))
+    laid = laid.repartitionByRange(files, h, spread).sortWithinPartitions(h)
     laid.select(*[F.col(f"`{c}`") for c in docs.columns]).write.parquet(path)
