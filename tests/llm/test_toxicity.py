@@ -72,6 +72,49 @@ def test_a_term_of_toxic_texts_does_not_move_the_score_by_its_prefixes():
     assert 1 / (1 + np.exp(-insult)) >= 0.7 > 1 / (1 + np.exp(-max(told)))
 
 
+def scores_of_swaps(penalty, monkeypatch):
+    """Scores of one sentence under swaps, where the term is in 40 % of the
+    toxic training texts and in no other."""
+    from weft.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SWAP_PENALTY", penalty)
+    rng = random.Random(1)
+    texts, labels = [], []
+    for i in range(1200):
+        words = [f"w{rng.randrange(400)}" for _ in range(30)]
+        if i % 8 == 0:
+            if rng.random() < 0.4:
+                words[17] = "muslims"
+            if words[17] != "muslims" or rng.random() < 0.3:
+                words[3] = rng.choice(["vilea", "vileb", "vilec"])
+        rng.shuffle(words)
+        texts.append(" ".join(words).encode())
+        labels.append(float(i % 8 == 0))
+    model = fit(counted(texts), np.array(labels))
+    sentences = [f"w1 w2 {x} w3".encode() for x in ("muslims", "christians", "jews", "vilea", "muslims vilea")]
+    return 1 / (1 + np.exp(-model.margins(sentences)))
+
+
+def test_swapped_sentences_score_alike_only_with_the_penalty(monkeypatch):
+    *told, insult, both = scores_of_swaps(20.0, monkeypatch)
+    assert max(told) - min(told) < 0.05 and max(told) < 0.7 <= min(insult, both)
+    *told, _, _ = scores_of_swaps(0.0, monkeypatch)
+    assert max(told) - min(told) > 0.5 and max(told) >= 0.7
+
+
+def test_training_bytes_are_bounded(spark, monkeypatch):
+    from weft.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda counts, labels, marks: seen.append(len(counts)))
+    docs = spark.createDataFrame([(i, f"word{i} " * 100) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    toxicity.train(docs, labels, labels.doc_id >= 0)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 7_000)
+    toxicity.train(docs, labels, labels.doc_id >= 0)
+    assert seen[0] == 50 and 8 <= seen[1] <= 10
+
+
 def test_copies_are_thinned():
     assert thinned([[1, 2], [3, 2], [1, 4], [5, 6]]) == [0, 3]
 

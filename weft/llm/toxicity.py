@@ -2,14 +2,15 @@
 
 Features are the words of a text and their prefixes of ``PREFIXES`` bytes (an
 insult takes endings), hashed, each at the ``LEVELS`` of how often it occurs;
-those seen in at least ``LEAST_DOCS`` training texts and tied to label 1 (signed root of chi-squared
+at most ``FEATURES`` of those seen in at least ``LEAST_DOCS`` training texts and tied to label 1 (signed root of chi-squared
 above ``LEAST_TIE``, smoothed share of label 1 at least ``LEAST_SHARE``) take part, with weights of zero or more. The loss is the
 class-balanced logistic loss, a ridge, and a penalty on the change of a
 labelled text's margin when an identity term in it is swapped for another term
 of its group, word, prefixes and levels with it, so that a mere mention of a
 group does not move the score. The
 model is fitted on the driver from at most ``TRAIN_ROWS`` distinct labelled
-texts, chosen by a hash of the text; every text is scored whole.
+texts of ``TRAIN_BYTES`` together, taken whole in the order of a hash of the
+text; every text is scored whole.
 
 Results for odd input: null and empty texts get the score of no feature;
 labels that are null, or of unknown documents, are not learned from; with no
@@ -24,7 +25,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.arrow import map_rows, plain, utf8
@@ -32,6 +33,8 @@ from weft.llm.words import ALNUM, Hashed, groups, hashed, shingles
 
 #: Bounds: labelled texts, features, and the least texts a feature is in.
 TRAIN_ROWS, FEATURES, LEAST_DOCS, PRINTS, SINGLES = 6_000, 2_048, 4, 4, 3
+#: Bytes of labelled text, of which the driver gets some five times as much in hashes and counts.
+TRAIN_BYTES = 32 << 20
 #: Bytes of the word prefixes that count as features, and how often at least.
 PREFIXES, LEVELS = (4, 5, 6, 7), (1, 2, 4)
 LEAST_TIE, LEAST_SHARE = 5.0, 0.9
@@ -275,6 +278,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = TRAIN_
     # At most 3 * rows ids of eight bytes: small whatever the table's size.
     pairs = text.join(F.broadcast(few), "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"])
     picked = pairs.orderBy("h", "toxic").select("text", "toxic", "h").limit(rows)
+    upto = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy("h", "toxic"))
+    picked = picked.withColumn("upto", upto).where(F.col("upto") <= TRAIN_BYTES)
 
     def make():
         def f(batch):
