@@ -72,15 +72,16 @@ def counted(df: DataFrame, **more: Column) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; ``codec``
+    is the pages' compression, the session's by default.
 
     Preferred over ``cut`` for wide rows: columnar, compressed, and later
     readers still prune columns.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
