@@ -47,7 +47,7 @@ def op7_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_flac_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = stored(flac.store_media(table(spark, sf_dir, "documents")), "flac-media")
+    media = stored(flac.store_media(table(spark, sf_dir, "documents")), "flac-media", codec="zstd")
     return flac.media_features(media)
 
 
