@@ -58,3 +58,17 @@ def with_next(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     near = F.lead(value).over(Window.partitionBy("_part").orderBy("_place"))
     kind = df.schema[value].dataType.simpleString()
     return placed.withColumn(name, F.when(last, _of_part(far[::-1], kind)).otherwise(near)).drop("_part", "_place")
+
+
+def with_last(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """``df`` with the last ``value`` that is not null, up to each row in the
+    order: an as-of join's look back, by ranges instead of pairs."""
+    placed, sizes = _laid_out(df, order)
+    known = placed.where(F.col(value).isNotNull()).groupBy("_part").agg(F.max_by(value, "_place").alias("v"))
+    last = {r["_part"]: r["v"] for r in known.collect()}
+    before: list = []
+    for i in range(len(sizes)):
+        before.append(last.get(i - 1, before[-1] if before else None))
+    inside = F.last(value, ignorenulls=True).over(Window.partitionBy("_part").orderBy("_place"))
+    kind = df.schema[value].dataType.simpleString()
+    return placed.withColumn(name, F.coalesce(inside, _of_part(before, kind))).drop("_part", "_place")
