@@ -66,3 +66,14 @@ def test_binary_search_and_damage(tmp_path):
 def test_empty_table(spark):
     manifest = write_shards(spark.createDataFrame([], "doc_id long, text string"), PATH)
     assert digest_shards(manifest).count() == 0
+
+
+def test_an_id_over_several_shards_is_found_whole(spark):
+    docs = [(i, f"word{i} " * 50) for i in range(40)] + [(17, f"again {k} " * 200) for k in range(30)]
+    manifest = write_shards(spark.createDataFrame(docs, "doc_id long, text string"), PATH, shard_bytes=2000)
+    asked = spark.createDataFrame([(17,), (-5,), (39,), (1000,), (17,)], "doc_id long")
+    found = find(manifest, asked)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    got = [r.doc_id for r in found.collect()]
+    assert sorted(got) == [17] * 31 + [39]
+    assert find(manifest, asked.limit(0)).count() == 0

@@ -41,11 +41,14 @@ from pyspark.sql.types import StructType
 from weft.llm import storage
 from weft.llm.arrow import map_rows, plain, prepare, utf8
 from weft.llm.bpe import CACHE_CHARS, CACHE_SIZE, Encoder
-from weft.plans.lineage import scratch, stored
+from weft.plans.lineage import cut, scratch, stored
+from weft.plans.ordinal import with_last
 
 MAGIC = b"WEFTSST1"
 FOOTER = struct.Struct("<QQQQQQQI8s")
 BLOCK_BYTES, SHARD_BYTES, RESTART = 64 << 10, 32 << 20, 16
+#: Bytes of text that a task encodes, about.
+TASK_BYTES = 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MANIFEST = "path string, task int, part int, docs bigint, tokens bigint, first_key binary, last_key binary, file_bytes bigint"
 
@@ -318,8 +321,9 @@ def write_shards(docs: DataFrame, vocabulary_path: str, end_id: int | None = Non
     # The hash only settles the order of repeated ids, and spreads them.
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    # A stated number of partitions: encoding costs far more than their bytes tell, so none are merged.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A stated number of partitions that grows with the texts: encoding costs far more than their bytes tell, so none are merged.
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     run = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = stored(run.mapInArrow(_Writer(data, folder, end_id, shard_bytes), MANIFEST), "sstable-manifest")
     # One row a shard of 32 MB: the running sum is over the manifest only.
@@ -365,12 +369,18 @@ def _read(manifest: DataFrame, more: str, make) -> DataFrame:
 def find(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
     """The entries of the asked ids: shards by key range, then binary search.
 
-    ``doc_ids`` has a column ``doc_id``; returns ``doc_id, ids``.
+    ``doc_ids`` has a column ``doc_id``; returns ``doc_id, ids``. An id is
+    looked up in the last shard that begins at or before it, found by a look
+    back in key order, and in earlier ones that end with it, by an equi-join.
     """
     order = F.concat(F.when(F.col("doc_id").isNull(), F.lit(b"\0")).otherwise(F.lit(b"\1")), F.unhex(F.lpad(F.hex(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).bitwiseXOR(F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.lit(-(1 << 63))))), 16, "0")))
-    asked = plain(doc_ids, "doc_id").distinct().select(F.col("doc_id").cast("bigint").alias("doc_id"), order.alias("k"))
-    shards = F.broadcast(manifest.select("path", "first_key", "last_key"))
-    where = asked.join(shards, (F.col("k") >= F.col("first_key")) & (F.col("k") <= F.col("last_key"))).select("path", "doc_id").repartition("path")
+    asked = cut(plain(doc_ids, "doc_id").distinct().select(F.col("doc_id").cast("bigint").alias("doc_id"), order.alias("k")))
+    begins = manifest.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("first_key").alias("k"), F.lit(0).alias("kind"), "path", "task", "part")
+    blank = [F.lit(None).cast(t).alias(n) for n, t in (("path", "string"), ("task", "int"), ("part", "int"))]
+    events = begins.unionByName(asked.select("doc_id", "k", F.lit(1).alias("kind"), *blank))
+    last = with_last(events, ["k", "kind", "task", "part"], "path", "at").where("kind = 1 and at is not null").select(F.col("at").alias("path"), "doc_id")
+    ends = manifest.select("path", F.col("last_key").alias("k")).join(asked, "k").select("path", "doc_id")
+    where = last.union(ends).distinct().repartition("path")
 
     def make():
         open_shards: dict[str, Shard] = {}
