@@ -115,29 +115,33 @@ def kinds(graph: Graph, parts: int) -> DataFrame:
     return seen.join(away, ["id", "node"], "left").select("id", "node", kind.alias("kind"))
 
 
-def _limits(graph: Graph, parts: int, divisor: int | None) -> tuple[DataFrame, DataFrame]:
+def _limits(graph: Graph, parts: int, divisor: int | None, edge_divisor: int | None) -> tuple[DataFrame, DataFrame]:
     by = divisor or max(1, parts - 1)
     rows = round_robin(graph, parts).join(degrees(graph), "id")
     used = rows.groupBy("node").agg(F.count("*").alias("n_vertices"), F.sum("degree").alias("n_edges"))
-    total = used.agg((F.floor(F.sum("n_vertices") / by) + 1).alias("vertex_limit"), (F.floor(F.sum("n_edges") / by) + 1).alias("edge_limit"))
+    total = used.agg((F.floor(F.sum("n_vertices") / by) + 1).alias("vertex_limit"), (F.floor(F.sum("n_edges") / (edge_divisor or by)) + 1).alias("edge_limit"))
     return used, total
 
 
-def limits(graph: Graph, parts: int, divisor: int | None = None) -> DataFrame:
-    """Use and limit of every node, and whether either limit is exceeded."""
-    used, total = _limits(graph, parts, divisor)
+def limits(graph: Graph, parts: int, divisor: int | None = None, edge_divisor: int | None = None) -> DataFrame:
+    """Use and limit of every node, and whether either limit is exceeded.
+
+    The limits are the totals over the divisors, which are the nodes less one
+    by default; ``edge_divisor`` is ``divisor`` by default.
+    """
+    used, total = _limits(graph, parts, divisor, edge_divisor)
     over = (F.col("n_vertices") > F.col("vertex_limit")) | (F.col("n_edges") > F.col("edge_limit"))
     return used.join(F.broadcast(total)).select("node", "n_vertices", "n_edges", "vertex_limit", "edge_limit", over.alias("exceeded"))
 
 
-def check_limits(graph: Graph, parts: int, divisor: int | None = None) -> None:
-    bad = limits(graph, parts, divisor).where("exceeded").first()
+def check_limits(graph: Graph, parts: int, divisor: int | None = None, edge_divisor: int | None = None) -> None:
+    bad = limits(graph, parts, divisor, edge_divisor).where("exceeded").first()
     if bad:
         raise ValueError(f"node {bad.node} exceeds its limits: {bad.n_vertices} vertices, {bad.n_edges} edges")
 
 
 def occupancy(graph: Graph, parts: int, divisor: int | None = None) -> DataFrame:
-    used, total = _limits(graph, parts, divisor)
+    used, total = _limits(graph, parts, divisor, None)
     share = lambda a, b: (F.col(a) / F.col(b)).cast("double")
     return used.join(F.broadcast(total)).select("node", share("n_vertices", "vertex_limit").alias("v_occup"), share("n_edges", "edge_limit").alias("e_occup"))
 
