@@ -55,3 +55,18 @@ def test_without_broadcast(spark, monkeypatch):
 
 def test_empty(spark):
     assert report(spark.createDataFrame([], "doc_id long, source string, text string")).count() == 0
+
+
+def test_repeated_rows_count_each_as_in_sql(spark):
+    import duckdb
+    import pyarrow as pa
+
+    from weft.llm.linededup import SQL
+
+    rows = [(i, "h", f"own {i}\nMenu" if i < 4 else f"own {i}") for i in range(30)] + [(3, "h", "own 3\nMenu")] * 8 + [(None, None, None), (None, None, "x")]
+    key = lambda r: tuple(map(str, r))
+    got = sorted(map(tuple, report(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()), key=key)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "source": [r[1] for r in rows], "text": [r[2] for r in rows]}))
+    assert got == sorted(brute(rows), key=key) == sorted(con.execute(SQL).fetchall(), key=key)
+    assert sum(r[3] for r in got) == 12

@@ -90,9 +90,9 @@ def report(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: i
 #: The same in DuckDB, over whole lines.
 SQL = f"""
 WITH each AS (
-  SELECT source, doc_id, btrim_line AS line FROM (
-    SELECT DISTINCT source, doc_id, trim(u.line, ' ' || chr(9) || chr(13)) AS btrim_line
-    FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) u
+  SELECT source, row_id, btrim_line AS line FROM (
+    SELECT DISTINCT source, row_id, trim(u.line, ' ' || chr(9) || chr(13)) AS btrim_line
+    FROM (SELECT source, row_id, unnest(string_split(text, chr(10))) AS line FROM (SELECT *, row_number() OVER () AS row_id FROM documents)) u
   ) WHERE btrim_line <> ''
 ), seen AS (SELECT source, line, count(*) AS n FROM each GROUP BY source, line HAVING count(*) >= {LEAST}),
 total AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
