@@ -91,12 +91,34 @@ def test_ordinals_of_sparse_keys(spark):
     assert with_ordinal(rows.limit(0), "key").count() == 0
 
 
+def files(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    return {str(p) for p in Path(urlparse(lineage.checkpoint_dir(spark)).path).rglob("*") if p.is_file()}
+
+
+def test_rounds_leave_only_their_result(spark):
+    edges = random_pairs(19, 30, 40)
+    weighted = Graph.of(frame(spark, [(a, b, 1 + a % 3) for a, b in edges]))
+    g = Graph.of(frame(spark, edges))
+    for run in (lambda: components.components(g.edges), lambda: bfs.reach(g, edges[0][0]), lambda: scc.labels(g), lambda: mst.forest(weighted), lambda: sssp.dial(weighted, edges[0][0]), lambda: colouring.colour(g)):
+        before = files(spark)
+        out = run()
+        left = {f.split("/")[-2] for f in files(spark) - before}
+        assert len(left) == 1 and out.count() > 0, left
+    with pytest.raises(sssp.NegativeCycle):
+        before = files(spark)
+        sssp.bellman_ford(Graph.of(frame(spark, [(0, 1, 1), (1, 0, -2)])), 0)
+    assert files(spark) == before
+
+
 def test_a_cluster_must_name_its_checkpoint_folder():
     class Unset:
         conf = {}
 
         class sparkContext:  # noqa: N801
-            master = "spark://host:7077"
+            master, applicationId = "spark://host:7077", "no-such-application"
             _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isEmpty": staticmethod(lambda: True)}))}))})
             getConf = staticmethod(dict)  # noqa: N815
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.model import Graph, dedup
-from weft.plans.lineage import counted, cut
+from weft.plans.lineage import counted, cut, temporary
 from weft.plans.ordinal import counted_ordinal
 from weft.plans.superstep import is_small, one_task, sized, small
 
@@ -100,18 +100,19 @@ def reach(graph: Graph, root: int, symmetric: bool = False, local_edges: int | N
     ``pred`` is the smallest id among the predecessors one level before; the
     root is its own. ``symmetric`` graphs compare only the last two levels.
     """
-    edges, n_edges = _edges(graph)
-    if is_small(n_edges, local_edges):
-        return one_task(edges, _local(root), SCHEMA)
-    levels = _Levels(edges.sparkSession.createDataFrame([(root, root, 0)], SCHEMA))
-    more = True
-    with sized(edges.sparkSession, n_edges):
-        while more:
-            front = levels.front().select(F.col("id").alias("src"))
-            met = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("pred"))
-            new = met.join(levels.known(2 if symmetric else None), "id", "left_anti")
-            more = levels.add(new.select("id", "pred", F.lit(len(levels.tables)).alias("dist")))
-    return _union(levels.tables)
+    with temporary(graph.edges.sparkSession) as keep:
+        edges, n_edges = _edges(graph)
+        if is_small(n_edges, local_edges):
+            return keep(one_task(edges, _local(root), SCHEMA), "bfs")
+        levels = _Levels(edges.sparkSession.createDataFrame([(root, root, 0)], SCHEMA))
+        more = True
+        with sized(edges.sparkSession, n_edges):
+            while more:
+                # The level is a column and no literal, so that all rounds are one compiled plan.
+                front = levels.front().select(F.col("id").alias("src"), (F.col("dist") + 1).alias("dist"))
+                met = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("pred"), F.min("dist").alias("dist"))
+                more = levels.add(met.join(levels.known(2 if symmetric else None), "id", "left_anti").select("id", "pred", "dist"))
+        return keep(_union(levels.tables), "bfs")
 
 
 def tree(graph: Graph, root: int | None = None, **how) -> DataFrame:
@@ -132,15 +133,16 @@ def visit_edges(graph: Graph, root: int | None = None) -> DataFrame:
     follows the order of those, then of its own ids.
     """
     root = first_vertex(graph) if root is None else root
-    edges, n_edges = _edges(graph)
-    levels = _Levels(edges.sparkSession.createDataFrame([(root, None, -1)], "id bigint, parent bigint, pos bigint"))
-    more, found = True, 0
-    with sized(edges.sparkSession, n_edges):
-        while more:
-            front = levels.front().select(F.col("id").alias("src"), "pos")
-            met = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("pos", "src")).alias("by"))
-            new = met.join(levels.known(), "id", "left_anti").select("id", F.col("by.src").alias("parent"), F.col("by.pos").alias("before"))
-            placed, n = counted_ordinal(new, "before", "id", name="place")
-            more = levels.add(placed.select("id", "parent", (F.lit(found) + F.col("place")).alias("pos")))
-            found += n
-    return _union(levels.tables).where("pos >= 0").select("pos", "parent", F.col("id").alias("child"))
+    with temporary(graph.edges.sparkSession) as keep:
+        edges, n_edges = _edges(graph)
+        levels = _Levels(edges.sparkSession.createDataFrame([(root, None, -1)], "id bigint, parent bigint, pos bigint"))
+        more, found = True, 0
+        with sized(edges.sparkSession, n_edges):
+            while more:
+                front = levels.front().select(F.col("id").alias("src"), "pos")
+                met = edges.join(front, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("pos", "src")).alias("by"))
+                new = met.join(levels.known(), "id", "left_anti").select("id", F.col("by.src").alias("parent"), F.col("by.pos").alias("before"))
+                placed, n = counted_ordinal(new, "before", "id", name="place")
+                more = levels.add(placed.select("id", "parent", (F.lit(found) + F.col("place")).alias("pos")))
+                found += n
+        return keep(_union(levels.tables).where("pos >= 0").select("pos", "parent", F.col("id").alias("child")), "bfs-order")

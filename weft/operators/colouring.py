@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.model import Graph
-from weft.plans.lineage import counted, scratch
+from weft.plans.lineage import counted, scratch, temporary
 from weft.plans.superstep import one_task, sized
 
 SCHEMA = "id bigint, colour int"
@@ -83,22 +83,23 @@ def colour(graph: Graph, local_edges: int | None = None) -> DataFrame:
     ``local_edges`` sets the edges of a range, ``BLOCK_EDGES`` by default.
     """
     spark = graph.edges.sparkSession
-    up, seen = counted(graph.clean().edges.where("dst > src").select("src", "dst"))
-    edges = seen["rows"]
-    bounds = _bounds(up, edges, max(1, local_edges or BLOCK_EDGES)) if edges else []
-    # One folder a range, so that a round reads its own edges and no others.
-    blocks, colours = scratch(spark, "colouring-edges"), scratch(spark, "colouring")
-    _number(up, bounds).repartitionByRange("src").write.partitionBy("block").parquet(blocks)
-    roots = graph.vertices.union(up.select("dst")).distinct().join(up.select(F.col("src").alias("id")), "id", "left_anti")
-    roots.select("id", F.lit(0).alias("colour")).write.parquet(f"{colours}/part=-1")
-    with sized(spark, edges // (len(bounds) + 1)):
-        for i in reversed(range(len(bounds) + 1)) if edges else ():
-            own = spark.read.schema("src bigint, dst bigint, block int").parquet(blocks).where(F.col("block") == i).select("src", "dst")
-            rows = own.withColumn("used", F.lit(None).cast("array<int>"))
-            if i < len(bounds):
-                done = spark.read.schema(SCHEMA).parquet(colours)
-                above = own.where(F.col("dst") >= bounds[i]).join(done.select(F.col("id").alias("dst"), "colour"), "dst")
-                used = above.groupBy("src").agg(F.collect_set("colour").alias("used"))
-                rows = rows.where(F.col("dst") < bounds[i]).unionByName(used.select("src", F.lit(None).cast("bigint").alias("dst"), "used"))
-            one_task(rows, _settle, SCHEMA).write.parquet(f"{colours}/part={i}")
-    return spark.read.schema(SCHEMA).parquet(colours).select("id", "colour")
+    with temporary(spark) as keep:
+        up, seen = counted(graph.clean().edges.where("dst > src").select("src", "dst"))
+        edges = seen["rows"]
+        bounds = _bounds(up, edges, max(1, local_edges or BLOCK_EDGES)) if edges else []
+        # One folder a range, so that a round reads its own edges and no others.
+        blocks, colours = scratch(spark, "colouring-edges"), scratch(spark, "colouring")
+        _number(up, bounds).repartitionByRange("src").write.partitionBy("block").parquet(blocks)
+        roots = graph.vertices.union(up.select("dst")).distinct().join(up.select(F.col("src").alias("id")), "id", "left_anti")
+        roots.select("id", F.lit(0).alias("colour")).write.parquet(f"{colours}/part=-1")
+        with sized(spark, edges // (len(bounds) + 1)):
+            for i in reversed(range(len(bounds) + 1)) if edges else ():
+                own = spark.read.schema("src bigint, dst bigint, block int").parquet(blocks).where(F.col("block") == i).select("src", "dst")
+                rows = own.withColumn("used", F.lit(None).cast("array<int>"))
+                if i < len(bounds):
+                    done = spark.read.schema(SCHEMA).parquet(colours)
+                    above = own.where(F.col("dst") >= bounds[i]).join(done.select(F.col("id").alias("dst"), "colour"), "dst")
+                    used = above.groupBy("src").agg(F.collect_set("colour").alias("used"))
+                    rows = rows.where(F.col("dst") < bounds[i]).unionByName(used.select("src", F.lit(None).cast("bigint").alias("dst"), "used"))
+                one_task(rows, _settle, SCHEMA).write.parquet(f"{colours}/part={i}")
+        return keep(spark.read.schema(SCHEMA).parquet(colours).select("id", "colour"), "colours")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.plans.lineage import counted
+from weft.plans.lineage import counted, temporary
 from weft.plans.superstep import is_small, one_task, sized, small
 
 
@@ -35,21 +35,22 @@ def components(edges: DataFrame, max_rounds: int = 1000, local_edges: int | None
     rounds unless ``local_edges`` allows one task for so few edges.
     """
     e = edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s is not null and d is not null")
-    both, seen = counted(e.where("s <> d").select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).distinct().union(e.where("s = d").distinct()))
-    if is_small(seen["rows"], local_edges):
-        return one_task(both, _local, "id bigint, component bigint")
-    both = both.union(both.select("d", "s")).toDF("s", "d")
-    with sized(edges.sparkSession, 2 * seen["rows"]):
-        labels, seen = counted(both.groupBy(F.col("s").alias("id")).agg(F.least(F.min("d"), F.first("s")).alias("component")))
-        n = seen["rows"]
-        for _ in range(max_rounds):
-            # A hub is the key of many edges: few labels are broadcast to them.
-            near = both.join(small(labels, n), both.d == labels.id).groupBy("s").agg(F.min("component").alias("near"))
-            lower = labels.join(near, labels.id == near.s).select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
-            # The label of a label comes from the table of this round's start, which is a vertex too.
-            jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
-            step, seen = counted(lower.join(small(jump, n), "low").select("id", "old", F.least("low", "far").alias("component")), moved=F.count_if(F.col("old") != F.col("component")))
-            labels = step.select("id", "component")
-            if not seen["moved"]:
-                return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    with temporary(edges.sparkSession) as keep:
+        both, seen = counted(e.where("s <> d").select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).distinct().union(e.where("s = d").distinct()))
+        if is_small(seen["rows"], local_edges):
+            return keep(one_task(both, _local, "id bigint, component bigint"), "components")
+        both = both.union(both.select("d", "s")).toDF("s", "d")
+        with sized(edges.sparkSession, 2 * seen["rows"]):
+            labels, seen = counted(both.groupBy(F.col("s").alias("id")).agg(F.least(F.min("d"), F.first("s")).alias("component")))
+            n = seen["rows"]
+            for _ in range(max_rounds):
+                # A hub is the key of many edges: few labels are broadcast to them.
+                near = both.join(small(labels, n), both.d == labels.id).groupBy("s").agg(F.min("component").alias("near"))
+                lower = labels.join(near, labels.id == near.s).select("id", F.col("component").alias("old"), F.least("component", "near").alias("low"))
+                # The label of a label comes from the table of this round's start, which is a vertex too.
+                jump = labels.select(F.col("id").alias("low"), F.col("component").alias("far"))
+                step, seen = counted(lower.join(small(jump, n), "low").select("id", "old", F.least("low", "far").alias("component")), moved=F.count_if(F.col("old") != F.col("component")))
+                labels = step.select("id", "component")
+                if not seen["moved"]:
+                    return keep(labels, "components")
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")

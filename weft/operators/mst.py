@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.components import components
 from weft.operators.model import Graph
-from weft.plans.lineage import counted, cut
+from weft.plans.lineage import counted, cut, temporary
 from weft.plans.superstep import is_small, one_task, sized
 
 SCHEMA = "src bigint, dst bigint, weight double"
@@ -39,23 +39,24 @@ def _kruskal(edges: pd.DataFrame) -> pd.DataFrame:
 def forest(graph: Graph, local_edges: int | None = None) -> DataFrame:
     """Minimum spanning forest, edges with ``src < dst``."""
     half = graph.edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.col("weight").cast("double").alias("weight"))
-    edges, seen = counted(half.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    if is_small(seen["rows"], local_edges):
-        return one_task(edges, _kruskal, SCHEMA)
-    # Boruvka: every component takes its least outgoing edge; ids are labels.
-    open_edges, kept = edges.select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")), None
-    while seen["rows"]:
-        with sized(edges.sparkSession, seen["rows"]):
-            order = F.struct("weight", "src", "dst", "a", "b")
-            each = open_edges.select("a", order.alias("o")).union(open_edges.select("b", order.alias("o"))).toDF("c", "o")
-            least = cut(each.groupBy("c").agg(F.min("o").alias("o")).select("o.*").distinct())
-            chosen = least.select("src", "dst", "weight")
-            kept = chosen if kept is None else kept.union(chosen)
-            joined = components(least.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-            of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}2"))  # noqa: B023, E731
-            renamed = open_edges.join(of("a"), "a").join(of("b"), "b")
-            open_edges, seen = counted(renamed.where("a2 <> b2").select("src", "dst", "weight", F.col("a2").alias("a"), F.col("b2").alias("b")))
-    return kept if kept is not None else edges
+    with temporary(graph.edges.sparkSession) as keep:
+        edges, seen = counted(half.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+        if is_small(seen["rows"], local_edges):
+            return keep(one_task(edges, _kruskal, SCHEMA), "forest")
+        # Boruvka: every component takes its least outgoing edge; ids are labels.
+        open_edges, kept = edges.select("src", "dst", "weight", F.col("src").alias("a"), F.col("dst").alias("b")), None
+        while seen["rows"]:
+            with sized(edges.sparkSession, seen["rows"]):
+                order = F.struct("weight", "src", "dst", "a", "b")
+                each = open_edges.select("a", order.alias("o")).union(open_edges.select("b", order.alias("o"))).toDF("c", "o")
+                least = cut(each.groupBy("c").agg(F.min("o").alias("o")).select("o.*").distinct())
+                chosen = least.select("src", "dst", "weight")
+                kept = chosen if kept is None else kept.union(chosen)
+                joined = components(least.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+                of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}2"))  # noqa: B023, E731
+                renamed = open_edges.join(of("a"), "a").join(of("b"), "b")
+                open_edges, seen = counted(renamed.where("a2 <> b2").select("src", "dst", "weight", F.col("a2").alias("a"), F.col("b2").alias("b")))
+        return keep(kept if kept is not None else edges, "forest")
 
 
 def spanning_tree(graph: Graph, local_edges: int | None = None) -> DataFrame:

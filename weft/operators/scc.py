@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.model import Graph, dedup, reverse
-from weft.plans.lineage import counted, cut
+from weft.plans.lineage import counted, cut, temporary
 from weft.plans.superstep import is_small, one_task, sized, small
 
 SCHEMA = "id bigint, scc bigint"
@@ -73,31 +73,32 @@ def labels(graph: Graph, local_edges: int | None = None) -> DataFrame:
     their own and go first. Then the smallest ancestor of each vertex is its
     colour, and what leads back to it within the colour is its component.
     """
-    edges, seen = counted(dedup(graph.edges.where("src <> dst")))
-    if is_small(seen["rows"], local_edges):
-        found = one_task(edges, _local, SCHEMA)
-        return graph.vertices.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
-    rest, done = cut(graph.vertices), []
-    with sized(edges.sparkSession, seen["rows"]):
-        while True:
-            inner, seen = counted(edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id"))
-            done.append(rest.join(inner, "id", "left_anti").select("id", F.col("id").alias("scc")))
-            if not seen["rows"]:
-                break
-            ahead = _spread(inner.select("id", F.col("id").alias("label")), edges)
-            of = lambda c: ahead.select(F.col("id").alias(c), F.col("label").alias(f"{c}_l"))  # noqa: B023, E731
-            own = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_l = dst_l").select("src", "dst"))
-            starts = ahead.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).alias("label"))
-            behind = _spread(starts, reverse(own))
-            done.append(behind.where("label is not null").select("id", F.col("label").alias("scc")))
-            rest = cut(behind.where("label is null").select("id"))
-            # Edges between colours join no component.
-            keep = lambda c: rest.withColumnRenamed("id", c)  # noqa: B023, E731
-            edges = cut(own.join(keep("src"), "src", "left_semi").join(keep("dst"), "dst", "left_semi"))
-    out = done[0]
-    for table in done[1:]:
-        out = out.unionByName(table)
-    return out
+    with temporary(graph.edges.sparkSession) as keep:
+        edges, seen = counted(dedup(graph.edges.where("src <> dst")))
+        if is_small(seen["rows"], local_edges):
+            found = one_task(edges, _local, SCHEMA)
+            return keep(graph.vertices.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc")), "scc")
+        rest, done = cut(graph.vertices), []
+        with sized(edges.sparkSession, seen["rows"]):
+            while True:
+                inner, seen = counted(edges.select(F.col("src").alias("id")).distinct().join(edges.select(F.col("dst").alias("id")).distinct(), "id"))
+                done.append(rest.join(inner, "id", "left_anti").select("id", F.col("id").alias("scc")))
+                if not seen["rows"]:
+                    break
+                ahead = _spread(inner.select("id", F.col("id").alias("label")), edges)
+                of = lambda c: ahead.select(F.col("id").alias(c), F.col("label").alias(f"{c}_l"))  # noqa: B023, E731
+                own = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_l = dst_l").select("src", "dst"))
+                starts = ahead.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).alias("label"))
+                behind = _spread(starts, reverse(own))
+                done.append(behind.where("label is not null").select("id", F.col("label").alias("scc")))
+                rest = cut(behind.where("label is null").select("id"))
+                # Edges between colours join no component.
+                stays = lambda c: rest.withColumnRenamed("id", c)  # noqa: B023, E731
+                edges = cut(own.join(stays("src"), "src", "left_semi").join(stays("dst"), "dst", "left_semi"))
+        out = done[0]
+        for table in done[1:]:
+            out = out.unionByName(table)
+        return keep(out, "scc")
 
 
 def count(graph: Graph, local_edges: int | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ takes and what they refuse. Few taken vertices are broadcast to the edges.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.operators.model import Graph
-from weft.plans.lineage import counted, cut
+from weft.plans.lineage import counted, cut, temporary
 from weft.plans.superstep import is_small, one_task, sized, small
 
 SCHEMA = "id bigint, dist double"
@@ -30,6 +32,17 @@ class NegativeWeight(ValueError):
     """The algorithm takes no negative weights."""
 
 
+def _kept(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``run`` with its result stored and the tables of its rounds deleted."""
+
+    @wraps(run)
+    def whole(graph: Graph, *args, **more) -> DataFrame:
+        with temporary(graph.edges.sparkSession) as keep:
+            return keep(run(graph, *args, **more), "paths")
+
+    return whole
+
+
 def _lightest(graph: Graph, whole: bool, negative: bool = False) -> tuple[DataFrame, int]:
     """The lightest of parallel edges, and how many; refuses negative weights."""
     w = F.col("weight").cast("bigint").cast("double") if whole else F.col("weight").cast("double")
@@ -118,6 +131,7 @@ def _frontier_rounds(edges: DataFrame, n_edges: int, source: int, most: int | No
     return state.select("id", "dist")
 
 
+@_kept
 def dijkstra(graph: Graph, source: int, local_edges: int | None = None) -> DataFrame:
     """``id, dist`` of the reached vertices; weights of zero or more."""
     edges, n = _lightest(graph, False)
@@ -148,6 +162,7 @@ def _passes(source: int):
     return run
 
 
+@_kept
 def bellman_ford(graph: Graph, source: int, local_edges: int | None = None) -> DataFrame:
     """As ``dijkstra`` for any weights; raises on a reachable negative cycle."""
     edges, n = _lightest(graph, False, negative=True)
@@ -167,6 +182,7 @@ def has_negative_cycle(graph: Graph, source: int, local_edges: int | None = None
     return False
 
 
+@_kept
 def dial(graph: Graph, source: int, local_edges: int | None = None) -> DataFrame:
     """Whole weights; a round takes the open vertices of the least distance."""
     edges, n_edges = _lightest(graph, True)
@@ -180,6 +196,7 @@ def dial(graph: Graph, source: int, local_edges: int | None = None) -> DataFrame
     return state.select("id", "dist")
 
 
+@_kept
 def delta_stepping(graph: Graph, source: int, delta: float = DELTA, local_edges: int | None = None) -> DataFrame:
     """Light edges to a fixpoint inside the least bucket, then heavy ones once."""
     edges, n_edges = _lightest(graph, False)

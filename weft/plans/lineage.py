@@ -13,6 +13,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -21,6 +23,9 @@ from pyspark.sql import functions as F
 _SHIPPED: set[str] = set()
 #: Folders that this driver has named, for ``clear_scratch``.
 _SCRATCH: list[str] = []
+#: Checkpoint folders of the open ``temporary`` blocks, and an application's own one.
+_FOLDERS: list[str] = []
+_OWN: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -30,14 +35,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(named)
         return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not current.isEmpty():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    own = Path(tempfile.mkdtemp(prefix="weft-checkpoint-")).as_uri()
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isEmpty():
+            _OWN[app] = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        else:
+            _OWN[app] = Path(tempfile.mkdtemp(prefix="weft-checkpoint-")).as_uri()
+            spark.sparkContext.setCheckpointDir(_OWN[app])
+    return _OWN[app]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -46,14 +54,45 @@ def scratch(spark: SparkSession, name: str) -> str:
     return _SCRATCH[-1]
 
 
+def _delete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Checkpoints and scratch tables made inside are deleted at its end.
+
+    Gives a function that stores a result so that it outlives the rest. What
+    was made before is not touched; an outer one deletes what an inner kept.
+    """
+    base = checkpoint_dir(spark)
+    start, kept = len(_SCRATCH), []
+    _FOLDERS.append(scratch(spark, "rounds"))
+    spark.sparkContext.setCheckpointDir(_FOLDERS[-1])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, name)
+        kept.append(_SCRATCH[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        _FOLDERS.pop()
+        spark.sparkContext.setCheckpointDir(_FOLDERS[-1] if _FOLDERS else base)
+        gone = [p for p in _SCRATCH[start:] if p not in kept]
+        _SCRATCH[start:] = kept
+        for path in gone:
+            _delete(spark, path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch folders of this driver; results that still read them
     must have been written before. Returns how many there were."""
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     done = 0
     while _SCRATCH:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        done += bool(path.getFileSystem(conf).delete(path, True))
+        done += _delete(spark, _SCRATCH.pop())
     return done
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.operators.model import symmetrise
-from weft.plans.lineage import counted, cut
+from weft.plans.lineage import counted, cut, temporary
 from weft.plans.superstep import sized
 
 
@@ -56,21 +56,22 @@ def random(spark: SparkSession, n: int, edges_per_vertex: int, seed: int) -> Dat
     the lower ones, so the counts are refined in rounds until they stay: after
     a round, the counts of one more link of every chain are final.
     """
-    most = edges_per_vertex * 3 // 2
-    v = spark.range(n - 1).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("j"))
-    to = F.col("src") + 1 + F.pmod(draw(seed, "src", "j"), F.lit(n - 1) - F.col("src"))
-    draws = cut(v.select("src", "j", to.cast("bigint").alias("dst")))
-    takes = cut(spark.range(n - 1).select("id", F.lit(most).cast("bigint").alias("n")))
-    with sized(spark, n * most):
-        while True:
-            taken = draws.join(takes.withColumnRenamed("id", "src"), "src").where("j < n").select("src", "dst").distinct()
-            back = taken.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("b"))
-            lacks = F.lit(edges_per_vertex) - F.coalesce("b", F.lit(0))
-            new = F.greatest(F.floor(lacks * 3 / 2), F.lit(0)).cast("bigint")
-            step, seen = counted(takes.join(back, "id", "left").select("id", F.col("n").alias("old"), new.alias("n")), moved=F.count_if(F.col("old") != F.col("n")))
-            takes = step.select("id", "n")
-            if not seen["moved"]:
-                return symmetrise(taken)
+    with temporary(spark) as keep:
+        most = edges_per_vertex * 3 // 2
+        v = spark.range(n - 1).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("j"))
+        to = F.col("src") + 1 + F.pmod(draw(seed, "src", "j"), F.lit(n - 1) - F.col("src"))
+        draws = cut(v.select("src", "j", to.cast("bigint").alias("dst")))
+        takes = cut(spark.range(n - 1).select("id", F.lit(most).cast("bigint").alias("n")))
+        with sized(spark, n * most):
+            while True:
+                taken = draws.join(takes.withColumnRenamed("id", "src"), "src").where("j < n").select("src", "dst").distinct()
+                back = taken.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("b"))
+                lacks = F.lit(edges_per_vertex) - F.coalesce("b", F.lit(0))
+                new = F.greatest(F.floor(lacks * 3 / 2), F.lit(0)).cast("bigint")
+                step, seen = counted(takes.join(back, "id", "left").select("id", F.col("n").alias("old"), new.alias("n")), moved=F.count_if(F.col("old") != F.col("n")))
+                takes = step.select("id", "n")
+                if not seen["moved"]:
+                    return keep(symmetrise(taken), "random-graph")
 
 
 def power_law(spark: SparkSession, scale: int, edges: int, seed: int) -> DataFrame:
