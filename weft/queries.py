@@ -681,11 +681,34 @@ def _descent(levels: int, edges: int) -> str:
     return f"q AS (SELECT id, {draws} FROM (SELECT unnest(range(0, {edges})) AS id)), e AS (SELECT {bit('(u >= 76)')} AS a, {bit('((u >= 57 AND u < 76) OR u >= 95)')} AS b FROM q), h AS (SELECT DISTINCT a AS s, b AS d FROM e WHERE a <> b)"
 
 
-@query("gen_powerlaw", _with(_descent(13, 80_000)) + BOTH)
-def gen_powerlaw(spark, sf_dir):
+@query("gen_rmat", _with(_descent(13, 80_000)) + BOTH)
+def gen_rmat(spark, sf_dir):
     return generate.power_law(spark, 13, 80_000, seed=876)
 
 
+M, NP = 6, 800
+SLOTS = f"""slots AS (
+  SELECT v, j, {M} + {_draw("876", "'vertex'", "v", "j")} % greatest(v - {M}, 1) AS w, {_draw("876", "'edge'", "v", "j")} % {M} AS l, {_draw("876", "'near'", "v", "j")} % {M} AS c,
+         j > 0 AND v > {M} AND {_draw("876", "'kind'", "v", "j")} % 1000000 < 500000 AS triangle, {_draw("876", "'end'", "v", "j")} % 2 = 0 AS whole
+  FROM (SELECT unnest(range({M}, {NP})) AS v) CROSS JOIN (SELECT unnest(range(0, {M})) AS j)),
+found(v, j, t) USING KEY (v, j) AS (
+  SELECT v, j, CASE WHEN v = {M} THEN j ELSE w END FROM slots WHERE v = {M} OR (NOT triangle AND whole)
+  UNION
+  -- The slot before tells where a triangle is closed; the first vertices have no lower neighbours.
+  SELECT s.v, s.j, CASE WHEN s.triangle AND b.t < {M} AND s.whole THEN s.w ELSE o.t END
+  FROM slots s
+  LEFT JOIN recurring.found b ON s.triangle AND b.v = s.v AND b.j = s.j - 1
+  LEFT JOIN recurring.found o ON o.v = CASE WHEN s.triangle AND b.t >= {M} THEN b.t ELSE s.w END AND o.j = CASE WHEN s.triangle AND b.t >= {M} THEN s.c ELSE s.l END
+  WHERE (SELECT count(*) FROM found) > 0 AND (NOT s.triangle OR b.t IS NOT NULL) AND (o.t IS NOT NULL OR (s.triangle AND b.t < {M} AND s.whole))
+    AND NOT EXISTS (SELECT 1 FROM recurring.found f WHERE f.v = s.v AND f.j = s.j)),
+h AS (SELECT DISTINCT v AS s, t AS d FROM found)"""
+
+
+@query("gen_powerlaw", _with(SLOTS, recursive=True) + BOTH)
+def gen_powerlaw(spark, sf_dir):
+    return generate.power_law_cluster(spark, NP, M, 0.5, seed=876)
+
+
 @query("gen_gnp", f"WITH h AS (SELECT a AS s, b AS d FROM (SELECT unnest(range(0, 60)) AS a) CROSS JOIN (SELECT unnest(range(0, 60)) AS b) WHERE a <> b AND {_draw('876', 'a', 'b')} % 1000000 < 250000) SELECT s AS src, d AS dst FROM h")
 def gen_gnp(spark, sf_dir):
     return generate.gnp(spark, 60, 0.25, seed=876, directed=True)

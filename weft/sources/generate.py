@@ -85,3 +85,40 @@ def power_law(spark: SparkSession, scale: int, edges: int, seed: int) -> DataFra
         src = src * 2 + (u >= 76).cast("bigint")
         dst = dst * 2 + (((u >= 57) & (u < 76)) | (u >= 95)).cast("bigint")
     return symmetrise(e.select(src.alias("src"), dst.alias("dst")).where("src <> dst").distinct())
+
+
+def power_law_cluster(spark: SparkSession, n: int, m: int, p: float, seed: int) -> DataFrame:
+    """A graph with power-law degrees and triangles, grown by preferential
+    attachment: each vertex from ``m`` on makes ``m`` edges to lower ones.
+
+    An edge goes to an end of a random earlier edge, so to a vertex by its
+    degree; with chance ``p`` a further edge closes a triangle instead, to a
+    random lower neighbour of the vertex that the edge before went to. Vertex
+    ``m`` joins the first ``m``; parallel edges are one. Which earlier edge an
+    edge copies is known at once; its target is found by rounds in which
+    pointers are doubled, so that there are few rounds however long the chains.
+    """
+    some = lambda what, below: F.pmod(draw(seed, F.lit(what), "v", "j"), below)
+    slots = spark.range(m, n).select(F.col("id").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    slots = slots.withColumns({"w": F.lit(m) + some("vertex", F.greatest(F.col("v") - m, F.lit(1))), "l": some("edge", F.lit(m)).cast("int"), "c": some("near", F.lit(m)).cast("int")})
+    first, triangle, whole = F.col("v") == m, (F.col("j") > 0) & (some("kind", F.lit(1_000_000)) < int(p * 1_000_000)), some("end", F.lit(2)) == 0
+    # A slot has its target, or waits for the target of slot (wv, wj): to take it, or (peeks) to go on from it.
+    known = F.when(first, F.col("j")).when(~triangle & whole, F.col("w"))
+    peeks = ~first & triangle
+    state = slots.select("v", "j", "w", "l", "c", whole.alias("whole"), known.cast("bigint").alias("t"), peeks.alias("peeks"), F.when(peeks, F.col("v")).otherwise(F.col("w")).alias("wv"), F.when(peeks, F.col("j") - 1).otherwise(F.col("l")).alias("wj"))
+    with temporary(spark) as keep, sized(spark, (n - m) * m):
+        state, seen = counted(state, open=F.count_if(F.col("t").isNull()))
+        while seen["open"]:
+            other = state.select(F.col("v").alias("wv"), F.col("j").alias("wj"), F.col("t").alias("ot"), F.col("peeks").alias("op"), F.col("wv").alias("ov"), F.col("wj").alias("oj"))
+            met = state.where("t is null").join(other, ["wv", "wj"])
+            here, on = F.col("ot").isNotNull(), F.col("ot").isNull() & ~F.col("op")
+            closes, falls = F.col("peeks") & here & (F.col("ot") >= m), F.col("peeks") & here & (F.col("ot") < m)
+            moved = met.select(
+                "v", "j", "w", "l", "c", "whole",
+                F.when(here & ~F.col("peeks"), F.col("ot")).when(falls & F.col("whole"), F.col("w")).alias("t"),
+                (F.col("peeks") & ~here).alias("peeks"),
+                F.when(closes, F.col("ot")).when(falls, F.col("w")).when(on, F.col("ov")).otherwise(F.col("wv")).alias("wv"),
+                F.when(closes, F.col("c")).when(falls, F.col("l")).when(on, F.col("oj")).otherwise(F.col("wj")).alias("wj"),
+            )
+            state, seen = counted(state.where("t is not null").unionByName(moved), open=F.count_if(F.col("t").isNull()))
+        return keep(symmetrise(state.select(F.col("v").alias("src"), F.col("t").alias("dst"))), "power-law")
