@@ -9,7 +9,7 @@ Lines travel as 128-bit hashes and are counted with map-side combination, so a
 host with very many documents, or a line on every page, is summed up before
 the shuffle. What is flagged on a host is at most its lines over ``ratio``, so
 the flagged table is small beside the documents; it is broadcast only behind a
-check of its rows.
+check of its rows, and otherwise joined by host and a salt.
 
 Results for odd input: a null text stays null and counts as a document; a null
 host is one more host; a document whose lines are all dropped has an empty
@@ -28,6 +28,8 @@ from weft.plans.lineage import stored
 RATIO, LEAST = 0.1, 10
 #: Most flagged lines (40 bytes each) in one broadcast.
 BROADCAST_LINES = 500_000
+#: Tasks that the pages of a host are dealt to where its lines are not broadcast.
+SALTS = 32
 BLANKS = " \t\r"
 
 
@@ -59,8 +61,12 @@ def _marked(docs: DataFrame, host: str, text: str, ratio: float, least: int) ->
     other, lines = fresh("host", docs.columns), fresh("lines", docs.columns)
     side = found.select(F.col("host").alias(other), F.col("lines").alias(lines))
     if size <= BROADCAST_LINES:
-        side = F.broadcast(side)
-    return docs.join(side, F.col(f"`{host}`").eqNullSafe(F.col(other)), "left"), lines
+        return docs.join(F.broadcast(side), F.col(f"`{host}`").eqNullSafe(F.col(other)), "left"), lines
+    # A host's pages are dealt to several tasks, each with a copy of its lines.
+    salt, copy = fresh("salt", docs.columns), fresh("copy", docs.columns)
+    side = side.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = docs.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(side, F.col(f"`{host}`").eqNullSafe(F.col(other)) & (F.col(salt) == F.col(copy)), "left"), lines
 
 
 def _kept(text: str, lines: str) -> Column:
