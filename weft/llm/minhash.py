@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from weft.llm.arrow import fresh, map_rows, plain, utf8
 from weft.llm.words import SPACED, groups, hashed, shingles
 from weft.operators.components import components
-from weft.plans.lineage import stored
+from weft.plans.lineage import stored, temporary
 
 #: Minima in a sub-key, and the chance that a pair at the threshold fails to meet, at most.
 K, MISS = 4, 1.5e-5
@@ -272,8 +272,14 @@ def near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     Documents link when 100 * intersection >= ``percent`` * union of their
     ``n``-word shingle sets; ``component_id`` is the smallest id reachable and
-    ``kept`` marks that document.
+    ``kept`` marks that document. The tables in between, full shingle sets
+    among them, are deleted once the result is stored.
     """
+    with temporary(docs.sparkSession) as keep:
+        return keep(_near_duplicates(docs, n, percent), "minhash-result")
+
+
+def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
     sig = stored(signatures(docs, n, sub_key_count(percent)), "minhash-signatures")
     full = sig.where("doc_id is not null and set_key is not null")
@@ -349,7 +355,7 @@ def deduplicate(docs: DataFrame, n: int, percent: int) -> DataFrame:
     Of rows with one id, the one with the smallest text hash stays; rows
     without an id all stay.
     """
-    found = stored(near_duplicates(docs, n, percent).where("doc_id is not null"), "minhash-result")
+    found = near_duplicates(docs, n, percent).where("doc_id is not null")
     key, mark, row = (fresh(c, docs.columns) for c in ("id", "hash", "row"))
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
     twice = stored(found.groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), "minhash-repeated")
