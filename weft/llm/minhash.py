@@ -37,8 +37,9 @@ from weft.plans.lineage import stored, temporary
 
 #: Minima in a sub-key, and the chance that a pair at the threshold fails to meet, at most.
 K, MISS = 4, 1.5e-5
-#: Members and shingles that a block has on average, at most.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 20
+#: Members and shingles that a block has on average, at most; members of the
+#: blocks that meet first, of which many are enough to join a class of copies.
+BLOCK_MEMBERS, BLOCK_SHINGLES, FIRST_MEMBERS = 512, 1 << 20, 64
 #: Most rows of three integers in one broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Copies that make a class hot, at least, and hot classes in one broadcast.
@@ -232,9 +233,9 @@ def _table_groups(members: DataFrame) -> DataFrame:
     return components(ties).select(F.col("id").alias("rep"), F.col("component").alias("g"))
 
 
-def _blocks() -> Column:
-    """Blocks for so many ``members`` and ``shingles``."""
-    return F.greatest(F.ceil(F.col("members") / BLOCK_MEMBERS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+def _blocks(most: int) -> Column:
+    """Blocks of ``most`` members for so many ``members`` and ``shingles``."""
+    return F.greatest(F.ceil(F.col("members") / most), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
 
 
 def _first_cells(sets: DataFrame, large: DataFrame) -> DataFrame:
@@ -250,7 +251,7 @@ def _second_cells(sets: DataFrame) -> DataFrame:
     of = sets.select("g", "label", F.size("s").alias("n")).groupBy("g", "label").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     # Classes of half a block get blocks of their own, the others share some.
     of = stored(of.withColumn("own", F.when((F.col("members") * 2 >= BLOCK_MEMBERS) | (F.col("shingles") * 2 >= BLOCK_SHINGLES), F.col("label"))), "minhash-classes")
-    pools = of.groupBy("g", "own").agg(F.sum("members").alias("members"), F.sum("shingles").alias("shingles")).withColumn("blocks", _blocks())
+    pools = of.groupBy("g", "own").agg(F.sum("members").alias("members"), F.sum("shingles").alias("shingles")).withColumn("blocks", _blocks(BLOCK_MEMBERS))
     pools = stored(pools.select("g", "own", "blocks"), "minhash-pools")
     blocks = pools.withColumn("number", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("g", "own", "number", F.xxhash64("g", "own", "number").alias("block"))
     blocks = stored(blocks, "minhash-blocks")
@@ -293,8 +294,8 @@ def _near_duplicates(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sets = stored(_sets(docs.join(_small(grouped.withColumnRenamed("rep", "doc_id"), met), "doc_id"), n), "minhash-sets")
 
     sizes = sets.select("g", F.size("s").alias("n")).groupBy("g").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    # Only groups of more than one block: each has BLOCK_MEMBERS rows or more.
-    large = stored(sizes.withColumn("blocks", _blocks()).where("blocks > 1").select("g", "blocks"), "minhash-large")
+    # Only groups of more than one block: each has FIRST_MEMBERS rows or more.
+    large = stored(sizes.withColumn("blocks", _blocks(min(FIRST_MEMBERS, BLOCK_MEMBERS))).where("blocks > 1").select("g", "blocks"), "minhash-large")
     joins = _compare(_first_cells(sets, large), percent)
     labels = _labels(joins)
     if not large.isEmpty():
