@@ -88,3 +88,11 @@ def test_documents(spark, library):
     whole = {r.doc_id: r for r in bpe.encode_documents(frame, PATH).where("doc_id is not null").collect()}
     assert whole[5].ids == want(library, texts[5])[0] and whole[5].decoded == want(library, texts[5])[1]
     assert bpe.digest_documents(frame.limit(0), PATH).count() == 0
+
+
+def test_a_word_is_kept_once(library):
+    encoder = bpe.RankArrayEncoder(bpe.Vocabulary(open(PATH, "rb").read()))
+    for text in ["one two, two three.\nfour two \n two", "x \n two", "a \x1c b \x1c"]:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want(library, text)[0]
+    assert "two" in encoder.pieces and "\n" not in encoder.pieces
+    assert not any(w[0] == " " and not w.isspace() for w in encoder.words.known)

@@ -145,3 +145,18 @@ def test_solution_ranges(spark, tmp_path):
     assert [(r.i, r.value) for r in got] == [(1, 6), (2, 7)]
     with pytest.raises(Exception, match="no value 3"):
         textgraph.read_solution(spark, str(tmp_path / "s"), 1, 4).collect()
+
+
+def test_component_rounds_read_each_edge_once(spark, monkeypatch):
+    """A union of a table with itself would read it by twice the tasks."""
+    plans = []
+
+    def counted(df, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return lineage.counted(df, **more)
+
+    monkeypatch.setattr(components, "counted", counted)
+    edges = frame(spark, [*random_pairs(5, 40, 30), (77, 77)]).union(spark.sql("select 5L, cast(null as long)"))
+    got = pairs(components.components(edges), "id", "component")
+    assert got == pairs(components.components(edges, local_edges=1000), "id", "component")
+    assert got[77] == 77 and not any("Union" in p for p in plans[1:])

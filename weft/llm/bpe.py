@@ -206,14 +206,17 @@ class RankArrayEncoder(Encoder):
         return b"".join([self._word(w) for w in self.pattern.findall(piece)])
 
     def _word(self, word: str) -> bytes:
-        found = self.words.known.get(word)
+        # A word behind a space is a piece too, and is kept only once.
+        piece = word[0] == " " and not word[-1].isspace()
+        cache, key = (self.pieces.recent, word[1:]) if piece else (self.words, word)
+        found = cache.known.get(key)
         if found is None:
-            found = self.words.recall(word)
+            found = cache.recall(key)
         if found is None:
             packed = self.vocabulary.packed
             found = b"".join([packed[i] for i in self.vocabulary.merge_word(word.encode())])
-            if len(word) <= CACHE_CHARS:
-                self.words.keep(word, found)
+            if len(key) <= CACHE_CHARS:
+                cache.keep(key, found)
         return found
 
     def decode(self, ids: bytes) -> bytes:

@@ -36,10 +36,11 @@ def components(edges: DataFrame, max_rounds: int = 1000, local_edges: int | None
     """
     e = edges.select(F.col("src").alias("s"), F.col("dst").alias("d")).where("s is not null and d is not null")
     with temporary(edges.sparkSession) as keep:
-        both, seen = counted(e.where("s <> d").select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).distinct().union(e.where("s = d").distinct()))
+        both, seen = counted(e.select(F.least("s", "d").alias("s"), F.greatest("s", "d").alias("d")).distinct())
         if is_small(seen["rows"], local_edges):
             return keep(one_task(both, _local, "id bigint, component bigint"), "components")
-        both = both.union(both.select("d", "s")).toDF("s", "d")
+        # Turned row by row: a union would double the tasks of every round.
+        both = both.select(F.inline(F.array(F.struct("s", "d"), F.struct(F.col("d").alias("s"), F.col("s").alias("d")))))
         with sized(edges.sparkSession, 2 * seen["rows"]):
             labels, seen = counted(both.groupBy(F.col("s").alias("id")).agg(F.least(F.min("d"), F.first("s")).alias("component")))
             n = seen["rows"]
