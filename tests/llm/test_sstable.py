@@ -3,10 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from weft.llm.sstable import Shard, ShardWriter, digest_shards, find, key_of, read_shards, write_shards
+from weft.llm import sstable
+from weft.llm.sstable import LibraryEncoder, Shard, ShardWriter, digest_shards, find, key_of, read_shards, write_shards
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -77,3 +79,27 @@ def test_an_id_over_several_shards_is_found_whole(spark):
     got = [r.doc_id for r in found.collect()]
     assert sorted(got) == [17] * 31 + [39]
     assert find(manifest, asked.limit(0)).count() == 0
+
+
+def test_texts_together_ask_for_each_part_once():
+    rng = random.Random(9)
+    bits = ["the", "The", "don't", "a's,", "x.y", "é,", "ñ'll", "日本,", "²,", "12,", "3.5", "...", "'", "İ.", "Ǆ,", "ſ's", "é,", "\U0001f600", "a_b", "(c)", "x" * 60]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", "", " ", "\n"]) for _ in range(rng.randrange(1, 40))) + "end" for _ in range(800)]
+    texts += ["", " ", " a", "a ", "a  b", "a \n b", "a\r\nb", "a\tb", "a\x01b", "a\x1cb", "x  y", "a <|endoftext|> b", "ab" * 5000]
+    encoder, asked = LibraryEncoder(open(PATH, "rb").read()), []
+    library = encoder._ids
+    encoder._ids = lambda text: asked.append(text) or library(text)
+    t = Tokenizer.from_file(PATH)
+    for _ in range(2):
+        got = encoder.encode_all(texts)
+        assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    asked.clear()
+    encoder.encode_all(["one two, two. two\none two"] * 50)
+    assert sorted("".join(asked).replace(" a", " ").split()) == sorted("one two , .".split())
+    assert encoder.encode_all([]) == []
+
+
+def test_texts_run_together_to_a_bounded_size(monkeypatch):
+    monkeypatch.setattr(sstable, "RUN_BYTES", 10)
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": ["abc", None, "x" * 50]}), pa.RecordBatch.from_pydict({"doc_id": [4, None], "text": ["abcde", "abcde"]})]
+    assert list(sstable._runs(batches)) == [([1, 2], ["abc", ""]), ([3], ["x" * 50]), ([4, None], ["abcde", "abcde"])]

@@ -31,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
@@ -39,7 +40,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from weft.llm import storage
-from weft.llm.arrow import map_rows, plain, prepare, utf8
+from weft.llm.arrow import map_rows, plain, prepare, texts
 from weft.llm.bpe import CACHE_CHARS, CACHE_SIZE, Encoder
 from weft.plans.lineage import cut, scratch, stored
 from weft.plans.ordinal import with_last
@@ -50,6 +51,12 @@ BLOCK_BYTES, SHARD_BYTES, RESTART = 64 << 10, 32 << 20, 16
 #: Bytes of text that a task encodes, about.
 TASK_BYTES = 32 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Characters of text that are encoded together, and parts in one call of the library.
+RUN_BYTES, ASKED = 12 << 20, 4096
+#: Where texts are cut: white space that forbids it, a mark of cuts, and marks behind letters.
+CUT = "\x01"
+ODD = r"[\x00\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|[ \n]\z|\A[ \n]"
+BEFORE_MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/:-@\[-`{-~])"
 MANIFEST = "path string, task int, part int, docs bigint, tokens bigint, first_key binary, last_key binary, file_bytes bigint"
 
 
@@ -207,7 +214,8 @@ class LibraryEncoder(Encoder):
     A piece stands between single spaces, with the space before it, and encodes
     alike wherever it stands. The unknown pieces of a text are encoded in one
     call, and the ids are dealt to them by the byte lengths of the tokens. A
-    text whose spaces touch other white space is encoded whole.
+    text whose spaces touch other white space is encoded whole. ``encode_all``
+    does so for many texts at once, over arrays.
     """
 
     def __init__(self, data: bytes):
@@ -264,6 +272,71 @@ class LibraryEncoder(Encoder):
             self.known.update((p, v) for p, v in made.items() if len(p) <= CACHE_CHARS)
         return self._library(first) + b"".join(found)
 
+    def _asked(self, parts: list[str], sizes: np.ndarray, lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts that stand apart behind ``lead``, run together, and
+        how many ids each has; ``sizes`` are their lengths in bytes."""
+        found, counts = [], []
+        skip = len(self._ids(lead)) if lead else 0
+        for at in range(0, len(parts), ASKED):
+            some = parts[at : at + ASKED]
+            ids = self._ids(lead + lead.join(some))
+            ends = np.cumsum(self.lengths[ids])
+            last = np.cumsum(sizes[at : at + ASKED] + len(lead))
+            cuts = np.searchsorted(ends, last) + 1
+            if cuts[-1] != len(ids) or (ends[np.minimum(cuts, len(ids)) - 1] != last).any():
+                each = [self._ids(lead + p) for p in some]
+                ids, cuts = np.concatenate(each), np.cumsum(list(map(len, each)))
+            own = np.diff(cuts, prepend=0)
+            if skip:
+                inside = np.ones(len(ids), bool)
+                for k in range(skip):
+                    inside[cuts - own + k] = False
+                ids, own = ids[inside], own - skip
+            found.append(ids)
+            counts.append(own)
+        return np.concatenate([*found, np.zeros(0, "<u4")]), np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of some texts, each distinct part of them encoded once.
+
+        A text is cut where the pattern always cuts: before a single space or
+        line end, and before an ASCII mark behind a Latin letter. Texts with
+        other white space, or with special strings, are encoded one by one.
+        """
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)
+        if self.cut is not None:
+            odd = odd | np.array([bool(self.cut.search(t)) for t in texts], bool)
+        odd |= np.array([not t for t in texts], bool)
+        out: list = [np.frombuffer(self.encode(t), "<u4") if o else None for t, o in zip(texts, odd.tolist(), strict=True)]
+        at = np.flatnonzero(~odd)
+        if not len(at):
+            return out
+        cut = column.take(pa.array(at))
+        for space in " \n":
+            cut = pc.replace_substring(cut, space, CUT + space)
+        cut = pc.replace_substring_regex(cut, BEFORE_MARK, r"\1" + CUT + r"\2")
+        # Behind a line end a text's first part is like any other.
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), cut, pa.scalar("", pa.large_string())), CUT)
+        coded = split.values.dictionary_encode()
+        parts, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        sizes = pc.binary_length(coded.dictionary).to_numpy()
+        kind = np.array([" \n".find(p[0]) for p in parts], np.int8)
+        pools, begin, count, total = [], np.empty(len(parts), np.int64), np.empty(len(parts), np.int64), 0
+        for k, lead in ((0, ""), (1, ""), (-1, " a")):
+            own = np.flatnonzero(kind == k)
+            ids, n = self._asked([parts[i] for i in own.tolist()], sizes[own], lead)
+            begin[own], count[own] = total + np.cumsum(n) - n, n
+            pools.append(ids)
+            total += len(ids)
+        pool, line_end = np.concatenate(pools), len(self._ids("\n"))
+        bounds = split.offsets.to_numpy()
+        for i, a, b in zip(at.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            n = count[place[a:b]]
+            ends = np.cumsum(n)
+            out[i] = pool[np.repeat(begin[place[a:b]] - ends + n, n) + np.arange(ends[-1])][line_end:]
+        return out
+
 
 _LOADED: dict[bytes, LibraryEncoder] = {}
 
@@ -276,6 +349,21 @@ def loaded(data: bytes) -> LibraryEncoder:
     return _LOADED[key]
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of about ``RUN_BYTES`` of text, or of one longer text."""
+    keys, some, size = [], [], 0
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+            if some and size + len(text) > RUN_BYTES:
+                yield keys, some
+                keys, some, size = [], [], 0
+            keys.append(doc_id)
+            some.append(text)
+            size += len(text)
+    if some:
+        yield keys, some
+
+
 class _Writer:
     def __init__(self, data, folder: str, end_id: int | None, shard_bytes: int):
         self.data, self.folder, self.end_id, self.shard_bytes = data, folder, end_id, shard_bytes
@@ -289,9 +377,8 @@ class _Writer:
         end = np.array([] if self.end_id is None else [self.end_id], "<u4")
         task, attempt, part = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0
         writer = ShardWriter(width)
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(text or ""), "<u4")
+        for keys, some in _runs(batches):
+            for doc_id, ids in zip(keys, encoder.encode_all(some), strict=True):
                 writer.add(key_of(doc_id), np.concatenate([ids, end]))
                 if writer.size + writer.raw >= self.shard_bytes:
                     yield self._close(writer, task, part, attempt)
