@@ -22,6 +22,10 @@ COLOURS = StructType([StructField("id", LongType()), StructField("colour", Integ
 class Graph:
     vertices: DataFrame
     edges: DataFrame
+    #: Of an undirected graph without loops: each edge once, ``src < dst``, where that is at hand.
+    half: DataFrame | None = None
+    #: The number of edges or a bound above it, where one is known.
+    rows: int | None = None
 
     @staticmethod
     def of(edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
@@ -30,6 +34,15 @@ class Graph:
             vertices = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
         return Graph(vertices.select(F.col("id").cast("bigint").alias("id")), edges)
 
+    @staticmethod
+    def undirected(pairs: DataFrame, rows: int | None = None) -> Graph:
+        """The graph over distinct ``src, dst``, ``rows`` of them at most, none
+        a loop or another one's reverse: both directions need no ``distinct``."""
+        ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+        edges = pairs.select(F.inline(F.array(ends("src", "dst"), ends("dst", "src"))))
+        half = pairs.where("src is not null and dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+        return Graph(Graph.of(pairs).vertices, edges, half, rows and 2 * rows)
+
     def clean(self) -> Graph:
         """Without self-loops and parallel edges."""
         return Graph(self.vertices, dedup(self.edges.where("src <> dst")))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.operators.model import Graph, symmetrise
+from weft.operators.model import Graph
 from weft.plans.ordinal import with_next
-from weft.plans.tables import table
+from weft.plans.tables import dealt, table
 
 
 def _undirected(a: str, b: str) -> list:
@@ -18,21 +18,27 @@ def hand_off(spark: SparkSession, sf_dir: str) -> Graph:
     """CC: customers of consecutive orders."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"))
     pairs = with_next(orders, "k", "a", "b").where("b is not null and a <> b")
-    return Graph.of(symmetrise(pairs.select(*_undirected("a", "b")).distinct()))
+    rows = orders.count()
+    return Graph.undirected(dealt(pairs.select(*_undirected("a", "b")), rows, "src", "dst").distinct(), rows)
 
 
 def supplier_part(spark: SparkSession, sf_dir: str) -> Graph:
     """SP: bipartite, even suppliers and odd parts."""
-    pairs = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
-    return Graph.of(symmetrise(pairs))
+    items = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    rows = items.count()
+    return Graph.undirected(dealt(items, rows, "src", "dst").distinct(), rows)
 
 
 def co_purchase(spark: SparkSession, sf_dir: str) -> Graph:
     """PP: parts of the same order."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    read = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lines = dealt(read, read.count(), "l_orderkey")
+    n = F.col("n")
+    rows = lines.groupBy("l_orderkey").agg(F.count("*").alias("n")).agg(F.sum(F.floor(n * (n - 1) / 2))).first()[0] or 0
+    items = lines.distinct()
     two = items.select("l_orderkey", F.col("l_partkey").alias("dst"))
-    pairs = items.join(two, "l_orderkey").where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
-    return Graph.of(symmetrise(pairs))
+    pairs = items.join(two, "l_orderkey").where("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst")
+    return Graph.undirected(dealt(pairs, rows, "src", "dst").distinct(), rows)
 
 
 def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
