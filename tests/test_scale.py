@@ -1,8 +1,15 @@
 """What a task holds does not grow with the tables."""
 
+import tracemalloc
+
+import numpy as np
+import pandas as pd
 import pytest
+from graphs import frame
 from pyspark.sql import functions as F
 
+from weft.operators import traversal
+from weft.operators.model import Graph
 from weft.plans import tables
 from weft.sources import derive
 
@@ -38,3 +45,34 @@ def test_derived_edges_are_dealt_to_tasks_by_their_number(spark, few):
         assert g.edges.rdd.getNumPartitions() > 4 and g.rows >= len(want)
         sizes = [r.n for r in g.edges.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
         assert max(sizes) < 200
+
+
+def test_depth_first_order_holds_an_edge_in_eight_bytes():
+    draw = np.random.default_rng(5)
+    n, v = 400_000, 3_000
+    edges = np.unique(draw.integers(0, v, (n, 2)), axis=0)
+    batches = [pd.DataFrame({"s": part[:, 0], "d": part[:, 1]}) for part in np.array_split(draw.permutation(edges), 50)]
+    tracemalloc.start()
+    parents, children, post = traversal._walk(iter(batches), len(edges), v, 0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 * len(edges) + 100 * v
+    near = [edges[edges[:, 0] == i, 1].tolist() for i in range(v)]
+    seen, tree, done, stack = {0}, [], [], [(0, iter(near[0]))]
+    while stack:
+        at, rest = stack[-1]
+        w = next((x for x in rest if x not in seen), None)
+        if w is None:
+            done.append(stack.pop()[0])
+        else:
+            seen.add(w)
+            tree.append((at, w))
+            stack.append((w, iter(near[w])))
+    assert list(zip(parents, children)) == tree and list(post) == done
+
+
+def test_depth_first_order_of_sparse_ids_and_of_a_lone_start(spark):
+    g = Graph.of(frame(spark, [(-5, 10**15), (10**15, 7), (-5, 7), (7, -5), (7, 7)]))
+    assert rows(traversal.edges(g)) == [(0, -5, 7), (1, -5, 10**15)]
+    assert [r.id for r in traversal.postorder(g).orderBy("pos").collect()] == [7, 10**15, -5]
+    assert rows(traversal.edges(g, 99)) == [] and rows(traversal.postorder(g, 99)) == [(0, 99)]

@@ -19,8 +19,8 @@ from weft.plans.lineage import counted, cut, ship
 
 #: Most ids (eight bytes each) in one broadcast.
 BROADCAST_IDS = 1_000_000
-#: Most edges (24 bytes each) of a walk that only one task can take.
-SEQUENTIAL_EDGES = 20_000_000
+#: Most edges (eight bytes each) of a walk that only one task can take.
+SEQUENTIAL_EDGES = 200_000_000
 
 
 #: Rows of a round up to which its fixed cost is what counts, and rows a task.
@@ -71,12 +71,13 @@ def one_task(df: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return df.repartition(1).mapInPandas(whole, schema)
 
 
-def sequential(edges: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``one_task`` for a walk with no parallel form; raises over its limit."""
-    edges, seen = counted(edges)
-    if (n := seen["rows"]) > SEQUENTIAL_EDGES:
-        raise TooLarge(f"{n} edges in a sequential walk, at most {SEQUENTIAL_EDGES}")
-    return one_task(edges, run, schema)
+def sequential(edges: DataFrame, rows: int, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """A walk with no parallel form over ``rows`` edges, batch by batch in one
+    task; raises over its limit."""
+    if rows > SEQUENTIAL_EDGES:
+        raise TooLarge(f"{rows} edges in a sequential walk, at most {SEQUENTIAL_EDGES}")
+    ship(edges.sparkSession)
+    return edges.repartition(1).mapInPandas(run, schema)
 
 
 def rounds(state: DataFrame, step: Callable[[DataFrame, int], DataFrame | None], most: int = 100_000) -> DataFrame:
