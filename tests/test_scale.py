@@ -8,7 +8,7 @@ import pytest
 from graphs import frame
 from pyspark.sql import functions as F
 
-from weft.operators import traversal
+from weft.operators import placement, traversal
 from weft.operators.model import Graph
 from weft.plans import tables
 from weft.sources import derive
@@ -76,3 +76,19 @@ def test_depth_first_order_of_sparse_ids_and_of_a_lone_start(spark):
     assert rows(traversal.edges(g)) == [(0, -5, 7), (1, -5, 10**15)]
     assert [r.id for r in traversal.postorder(g).orderBy("pos").collect()] == [7, 10**15, -5]
     assert rows(traversal.edges(g, 99)) == [] and rows(traversal.postorder(g, 99)) == [(0, 99)]
+
+
+def test_cut_edges_are_met_in_as_many_tasks_as_their_number_needs(spark, few):
+    """One hub among 150 vertices; its edges are no single task's."""
+    pairs = [(0, i) for i in range(1, 150)] + [(i, i + 1) for i in range(1, 100)]
+    g = Graph.undirected(frame(spark, pairs), len(pairs))
+    both = sorted({*pairs, *[(b, a) for a, b in pairs]})
+    want, pos = [], {}
+    for a, b in both:
+        at = pos[a] = pos.get(a, -1) + 1
+        want.append((a, b, at, a % 3, (a + at) % 3))
+    for graph in (g, Graph.of(frame(spark, both + both[:50]))):
+        found = placement.vertex_cut(graph, 3)
+        assert sorted(map(tuple, found.collect())) == want
+        sizes = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 4 and max(sizes) < 149

@@ -7,12 +7,14 @@ the graph is weighted, ``weight double``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
+from weft.plans.lineage import counted
+
 EDGES = StructType([StructField("src", LongType()), StructField("dst", LongType())])
 WEIGHTED = StructType([*EDGES.fields, StructField("weight", DoubleType())])
 COLOURS = StructType([StructField("id", LongType()), StructField("colour", IntegerType())])
@@ -26,6 +28,8 @@ class Graph:
     half: DataFrame | None = None
     #: The number of edges or a bound above it, where one is known.
     rows: int | None = None
+    #: Whether ``half`` is written and ``rows`` is the number itself.
+    exact: bool = False
 
     @staticmethod
     def of(edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
@@ -35,13 +39,21 @@ class Graph:
         return Graph(vertices.select(F.col("id").cast("bigint").alias("id")), edges)
 
     @staticmethod
-    def undirected(pairs: DataFrame, rows: int | None = None) -> Graph:
+    def undirected(pairs: DataFrame, rows: int | None = None, ends: DataFrame | None = None) -> Graph:
         """The graph over distinct ``src, dst``, ``rows`` of them at most, none
-        a loop or another one's reverse: both directions need no ``distinct``."""
-        ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
-        edges = pairs.select(F.inline(F.array(ends("src", "dst"), ends("dst", "src"))))
+        a loop or another one's reverse: both directions need no ``distinct``.
+        ``ends`` are the pairs as they come, where vertices are sooner found there."""
+        way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+        edges = pairs.select(F.inline(F.array(way("src", "dst"), way("dst", "src"))))
         half = pairs.where("src is not null and dst is not null").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        return Graph(Graph.of(pairs).vertices, edges, half, rows and 2 * rows)
+        return Graph(Graph.of(pairs if ends is None else ends).vertices, edges, half, None if rows is None else 2 * rows)
+
+    def held(self) -> Graph:
+        """An undirected graph over a checkpoint of its ``half``, with the
+        number of its edges, so that nothing derives it again. Edges with an
+        unknown end and vertices without edges are left out."""
+        half, seen = counted(self.half)
+        return replace(Graph.undirected(half, seen["rows"]), half=half, exact=True)
 
     def clean(self) -> Graph:
         """Without self-loops and parallel edges."""

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from weft.functions.scalars import id_string, numeric_id, part_of, range_end, range_start
 from weft.operators.model import Graph, dedup, degrees
 from weft.plans.lineage import cut
-from weft.plans.ordinal import BUCKET, with_ordinal
+from weft.plans.ordinal import BUCKET, ordinal_in_parts, with_ordinal
+from weft.plans.tables import tasks
 
 
 def ranges(spark, total: int, parts: int) -> DataFrame:
@@ -64,43 +65,52 @@ def csr_offsets(graph: Graph, parts: int) -> DataFrame:
     return rows.withColumn("o", local).join(base, ["node", "b"]).select("node", "local", "id", "degree", (F.col("base") + F.col("o")).alias("offset"))
 
 
-def vertex_cut(graph: Graph, parts: int) -> DataFrame:
-    """``src, dst, pos, master, node`` of every edge.
+def vertex_cut(graph: Graph, parts: int, at: DataFrame | None = None) -> DataFrame:
+    """``src, dst, pos, master, node`` of every edge; ``at`` is the round
+    robin of the vertices, where it is at hand.
 
     A neighbour's place is its ordinal among all edges less the vertex's
-    first one, so that a hub's neighbours are never one array or one task.
+    first one. Edges are met by vertex and range of edges, so that a hub's
+    neighbours are never one array or one task.
     """
-    edges = cut(with_ordinal(dedup(graph.edges), "src", "dst"))
-    first = edges.groupBy("src").agg(F.min("k").alias("first"))
-    owners = round_robin(graph, parts).select(F.col("id").alias("src"), F.col("node").alias("master"))
-    each = edges.join(first.join(owners, "src"), "src").select("src", "dst", (F.col("k") - F.col("first")).cast("int").alias("pos"), "master")
+    edges = graph.edges.select("src", "dst") if graph.half is not None else dedup(graph.edges)
+    n = tasks(edges.sparkSession, edges.count() if graph.rows is None else graph.rows)
+    edges = ordinal_in_parts(edges, "src", "dst", tasks=n)
+    runs = edges.groupBy("_part", "src").agg(F.min("k").alias("k"))
+    owners = (round_robin(graph, parts) if at is None else at).select(F.col("id").alias("src"), F.col("node").alias("master"))
+    known = runs.groupBy("src").agg(F.min("k").alias("first")).join(owners, "src").join(runs.select("_part", "src"), "src")
+    met = edges.repartition(n, "_part", "src").join(known.repartition(n, "_part", "src"), ["_part", "src"])
+    each = met.select("src", "dst", (F.col("k") - F.col("first")).cast("int").alias("pos"), "master")
     return each.select("src", "dst", "pos", "master", F.pmod(F.col("master") + F.col("pos"), F.lit(parts)).cast("int").alias("node"))
 
 
 def masters(graph: Graph, parts: int) -> DataFrame:
     """Masters with the number of their edges kept on their own node."""
-    own = vertex_cut(graph, parts).where("node = master").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-    return round_robin(graph, parts).join(own, "id", "left").select("id", "node", "local", F.coalesce("n", F.lit(0)).alias("n_edges"))
+    at = round_robin(graph, parts)
+    own = vertex_cut(graph, parts, at).where("node = master").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    return at.join(own, "id", "left").select("id", "node", "local", F.coalesce("n", F.lit(0)).alias("n_edges"))
 
 
-def shadows(graph: Graph, parts: int) -> DataFrame:
+def shadows(graph: Graph, parts: int, at: DataFrame | None = None) -> DataFrame:
     """``id, node, n_edges``: vertices with edges away from their master."""
-    return vertex_cut(graph, parts).where("node <> master").groupBy(F.col("src").alias("id"), "node").agg(F.count("*").alias("n_edges"))
+    return vertex_cut(graph, parts, at).where("node <> master").groupBy(F.col("src").alias("id"), "node").agg(F.count("*").alias("n_edges"))
 
 
 def co_owners(graph: Graph, parts: int, return_self: bool = False) -> DataFrame:
     """``id, master, nodes``: the sorted other nodes with a vertex's edges;
     with ``return_self`` the master too, for every vertex."""
-    away = vertex_cut(graph, parts).where("node <> master").select("src", "master", "node")
+    at = round_robin(graph, parts)
+    away = vertex_cut(graph, parts, at).where("node <> master").select("src", "master", "node")
     if return_self:
-        away = away.unionByName(round_robin(graph, parts).select(F.col("id").alias("src"), F.col("node").alias("master"), "node"))
+        away = away.unionByName(at.select(F.col("id").alias("src"), F.col("node").alias("master"), "node"))
     return away.groupBy(F.col("src").alias("id"), "master").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
 
 
 def shadow_ids(graph: Graph, parts: int) -> DataFrame:
     """``id, node, local``: shadows numbered after the most masters of a node."""
-    most = round_robin(graph, parts).groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
-    rows = cut(with_ordinal(shadows(graph, parts).select("id", "node"), "node", "id"))
+    at = round_robin(graph, parts)
+    most = at.groupBy("node").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    rows = cut(with_ordinal(shadows(graph, parts, at).select("id", "node"), "node", "id"))
     # One row a node.
     first = rows.groupBy("node").agg(F.min("k").alias("first"))
     at = rows.join(F.broadcast(first), "node").join(F.broadcast(most))
@@ -109,8 +119,9 @@ def shadow_ids(graph: Graph, parts: int) -> DataFrame:
 
 def kinds(graph: Graph, parts: int) -> DataFrame:
     """``id, node, kind`` for every vertex seen from every node."""
-    seen = round_robin(graph, parts).select("id", F.col("node").alias("master"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("node"))
-    away = shadows(graph, parts).select("id", "node", F.lit(True).alias("shadow"))
+    at = round_robin(graph, parts)
+    seen = at.select("id", F.col("node").alias("master"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("node"))
+    away = shadows(graph, parts, at).select("id", "node", F.lit(True).alias("shadow"))
     kind = F.when(F.col("node") == F.col("master"), "master").when(F.col("shadow"), "shadow").otherwise("non_local")
     return seen.join(away, ["id", "node"], "left").select("id", "node", kind.alias("kind"))
 

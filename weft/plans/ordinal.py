@@ -17,11 +17,11 @@ from weft.plans.lineage import cut
 BUCKET = 1 << 16
 
 
-def _laid_out(df: DataFrame, order: list) -> tuple[DataFrame, list[int]]:
+def _laid_out(df: DataFrame, order: list, tasks: int | None = None) -> tuple[DataFrame, list[int]]:
     """``df`` sorted over its partitions with ``_part`` and ``_place``, and the
-    rows of each partition."""
+    rows of each partition; ``tasks`` are the session's by default."""
     # The checkpoint fixes the partitions, which a repeated sampling of the ranges could move.
-    laid = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
+    laid = cut(df.repartitionByRange(*([tasks] if tasks else []), *order).sortWithinPartitions(*order)).withColumn("_at", F.monotonically_increasing_id())
     placed = laid.withColumns({"_part": F.shiftright("_at", 33).cast("int"), "_place": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_at")
     counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     return placed, [counts.get(i, 0) for i in range(max(counts, default=-1) + 1)]
@@ -32,11 +32,22 @@ def _of_part(values: list, kind: str = "bigint") -> Column:
     return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("_part")) if values else F.lit(None).cast(kind)
 
 
+def _numbered(df: DataFrame, order: list, name: str, tasks: int | None = None) -> tuple[DataFrame, int]:
+    """``counted_ordinal`` with the partition ``_part`` of each row."""
+    placed, sizes = _laid_out(df, order, tasks)
+    before = [0, *accumulate(sizes)]
+    return placed.withColumn(name, _of_part(before[:-1]) + F.col("_place")).drop("_place"), before[-1]
+
+
 def counted_ordinal(df: DataFrame, *order: str | Column, name: str = "k") -> tuple[DataFrame, int]:
     """``df`` with the 0-based place of each row in the order, and its rows."""
-    placed, sizes = _laid_out(df, list(order))
-    before = [0, *accumulate(sizes)]
-    return placed.withColumn(name, _of_part(before[:-1]) + F.col("_place")).drop("_part", "_place"), before[-1]
+    numbered, rows = _numbered(df, list(order), name)
+    return numbered.drop("_part"), rows
+
+
+def ordinal_in_parts(df: DataFrame, *order: str | Column, name: str = "k", tasks: int | None = None) -> DataFrame:
+    """``with_ordinal`` over ``tasks`` ranges, with the range ``_part`` of each row."""
+    return _numbered(df, list(order), name, tasks)[0]
 
 
 def with_ordinal(df: DataFrame, *order: str | Column, name: str = "k") -> DataFrame:
@@ -45,9 +56,9 @@ def with_ordinal(df: DataFrame, *order: str | Column, name: str = "k") -> DataFr
     return counted_ordinal(df, *order, name=name)[0]
 
 
-def with_next(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+def with_next(df: DataFrame, key: str, value: str, name: str, tasks: int | None = None) -> DataFrame:
     """``df`` with ``value`` of the following row in the order of ``key``."""
-    placed, sizes = _laid_out(df, [key])
+    placed, sizes = _laid_out(df, [key], tasks)
     first = {r["_part"]: r["v"] for r in placed.where("_place = 0").select("_part", F.col(value).alias("v")).collect()}
     far: list = []
     following = None

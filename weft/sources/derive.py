@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.model import Graph
 from weft.plans.ordinal import with_next
-from weft.plans.tables import dealt, table
+from weft.plans.tables import dealt, table, tasks
 
 
 def _undirected(a: str, b: str) -> list:
@@ -17,16 +17,16 @@ def _undirected(a: str, b: str) -> list:
 def hand_off(spark: SparkSession, sf_dir: str) -> Graph:
     """CC: customers of consecutive orders."""
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("a"))
-    pairs = with_next(orders, "k", "a", "b").where("b is not null and a <> b")
     rows = orders.count()
-    return Graph.undirected(dealt(pairs.select(*_undirected("a", "b")), rows, "src", "dst").distinct(), rows)
+    pairs = with_next(orders, "k", "a", "b", tasks(spark, rows)).where("b is not null and a <> b").select(*_undirected("a", "b"))
+    return Graph.undirected(dealt(pairs, rows, "src", "dst").distinct(), rows, pairs)
 
 
 def supplier_part(spark: SparkSession, sf_dir: str) -> Graph:
     """SP: bipartite, even suppliers and odd parts."""
     items = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
     rows = items.count()
-    return Graph.undirected(dealt(items, rows, "src", "dst").distinct(), rows)
+    return Graph.undirected(dealt(items, rows, "src", "dst").distinct(), rows, items)
 
 
 def co_purchase(spark: SparkSession, sf_dir: str) -> Graph:
@@ -44,7 +44,7 @@ def co_purchase(spark: SparkSession, sf_dir: str) -> Graph:
 def user_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """UT: directed, weighted steps between users of consecutive events."""
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("user_id").alias("a"))
-    pairs = with_next(events, "k", "a", "b").where("b is not null and a <> b")
+    pairs = with_next(events, "k", "a", "b", tasks(spark, events.count())).where("b is not null and a <> b")
     return pairs.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min(1 + F.col("k") % 10).cast("double").alias("weight"))
 
 
