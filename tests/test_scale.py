@@ -5,10 +5,10 @@ import tracemalloc
 import numpy as np
 import pandas as pd
 import pytest
-from graphs import frame
+from graphs import frame, greedy
 from pyspark.sql import functions as F
 
-from weft.operators import placement, traversal
+from weft.operators import colouring, placement, traversal
 from weft.operators.model import Graph
 from weft.plans import tables
 from weft.sources import derive
@@ -92,3 +92,15 @@ def test_cut_edges_are_met_in_as_many_tasks_as_their_number_needs(spark, few):
         assert sorted(map(tuple, found.collect())) == want
         sizes = [r.n for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
         assert len(sizes) > 4 and max(sizes) < 149
+
+
+def test_ranges_reach_their_task_as_plain_numbers(spark, monkeypatch):
+    """Nested values reach Python one by one; nulls would make large ids floats."""
+    seen = []
+    plain = colouring.one_task
+    monkeypatch.setattr(colouring, "one_task", lambda df, *rest: seen.append(df.dtypes) or plain(df, *rest))
+    big = 2**60
+    edges = [(big + a, big + b) for a in range(8) for b in range(a + 1, 8) if (a + b) % 3]
+    got = {r.id: r.colour for r in colouring.colour(Graph.of(frame(spark, edges))).collect()}
+    assert got == greedy({v for e in edges for v in e}, edges)
+    assert seen and all(kind in ("bigint", "int") for d in seen for _, kind in d)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from weft.operators.model import Graph
 from weft.plans.lineage import counted, scratch, temporary
 from weft.plans.superstep import one_task, sized
+from weft.plans.tables import tasks
 
 SCHEMA = "id bigint, colour int"
 #: Edges of a range, about, and ranges at least.
@@ -28,16 +29,16 @@ BLOCK_EDGES, LEAST_BLOCKS = 4_000_000, 8
 
 
 def _settle(rest: pd.DataFrame) -> pd.DataFrame:
-    """Colours of all ``src`` of a range: rows with ``dst`` are edges inside
-    it, the others carry the colours ``used`` above it. A ``dst`` that is no
+    """Colours of all ``src`` of a range: rows with ``colour`` -1 are edges
+    inside it, the others a colour that is taken above it. A ``dst`` that is no
     ``src`` has no higher neighbour and so colour 0."""
-    inner = rest.dst.notna().to_numpy()
-    src, dst = rest.src.to_numpy(np.int64), rest.dst.to_numpy(np.float64, na_value=0)
+    src, far, used = (rest[c].to_numpy(np.int64) for c in ("src", "dst", "colour"))
+    inner = used < 0
     ids = np.unique(src)
     taken: list[set[int]] = [set() for _ in ids]
-    for at, used in zip(np.searchsorted(ids, src[~inner]).tolist(), rest.used[~inner], strict=True):
-        taken[at].update(used.tolist())
-    own, far = src[inner], rest.dst[inner].to_numpy(np.int64) if inner.any() else dst[:0].astype(np.int64)
+    for at, c in zip(np.searchsorted(ids, src[~inner]).tolist(), used[~inner].tolist(), strict=True):
+        taken[at].add(c)
+    own, far = src[inner], far[inner]
     place = np.minimum(np.searchsorted(ids, far), max(0, len(ids) - 1))
     known = ids[place] == far if len(far) else np.zeros(0, bool)
     order = np.argsort(own, kind="stable")
@@ -84,22 +85,26 @@ def colour(graph: Graph, local_edges: int | None = None) -> DataFrame:
     """
     spark = graph.edges.sparkSession
     with temporary(spark) as keep:
-        up, seen = counted(graph.clean().edges.where("dst > src").select("src", "dst"))
-        edges = seen["rows"]
+        if graph.exact:
+            up, edges = graph.half, graph.rows // 2
+        else:
+            up, seen = counted(graph.clean().edges.where("dst > src").select("src", "dst") if graph.half is None else graph.half)
+            edges = seen["rows"]
         bounds = _bounds(up, edges, max(1, local_edges or BLOCK_EDGES)) if edges else []
         # One folder a range, so that a round reads its own edges and no others.
         blocks, colours = scratch(spark, "colouring-edges"), scratch(spark, "colouring")
-        _number(up, bounds).repartitionByRange("src").write.partitionBy("block").parquet(blocks)
-        roots = graph.vertices.union(up.select("dst")).distinct().join(up.select(F.col("src").alias("id")), "id", "left_anti")
+        _number(up, bounds).repartitionByRange(tasks(spark, edges), "src").write.partitionBy("block").parquet(blocks)
+        roots = graph.vertices.union(up.select("dst")).distinct().join(up.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
         roots.select("id", F.lit(0).alias("colour")).write.parquet(f"{colours}/part=-1")
         with sized(spark, edges // (len(bounds) + 1)):
             for i in reversed(range(len(bounds) + 1)) if edges else ():
                 own = spark.read.schema("src bigint, dst bigint, block int").parquet(blocks).where(F.col("block") == i).select("src", "dst")
-                rows = own.withColumn("used", F.lit(None).cast("array<int>"))
+                # Plain numbers without nulls: nested values reach Python one by one, and nulls make ids floats.
+                rows = own.withColumn("colour", F.lit(-1))
                 if i < len(bounds):
                     done = spark.read.schema(SCHEMA).parquet(colours)
                     above = own.where(F.col("dst") >= bounds[i]).join(done.select(F.col("id").alias("dst"), "colour"), "dst")
-                    used = above.groupBy("src").agg(F.collect_set("colour").alias("used"))
-                    rows = rows.where(F.col("dst") < bounds[i]).unionByName(used.select("src", F.lit(None).cast("bigint").alias("dst"), "used"))
+                    used = above.select("src", "colour").distinct().select("src", F.col("src").alias("dst"), "colour")
+                    rows = rows.where(F.col("dst") < bounds[i]).unionByName(used)
                 one_task(rows, _settle, SCHEMA).write.parquet(f"{colours}/part={i}")
         return keep(spark.read.schema(SCHEMA).parquet(colours).select("id", "colour"), "colours")

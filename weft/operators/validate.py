@@ -38,7 +38,8 @@ def bfs_strict(graph: Graph, result: DataFrame, root: int) -> DataFrame:
 def colouring(graph: Graph, result: DataFrame) -> DataFrame:
     """Every vertex has a colour and no edge joins equal ones."""
     at = lambda c: result.select(F.col("id").alias(c), F.col("colour").alias(f"{c}_c"))
-    met = graph.edges.where("src <> dst").join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    each = graph.edges.where("src <> dst") if graph.half is None else graph.half
+    met = each.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
     return _all(met, F.coalesce(F.col("src_c") != F.col("dst_c"), F.lit(False)))
 
 
